@@ -22,7 +22,8 @@ def p2_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = split_records(table(spark, sf_dir, "dependency_raw")).rejected
-    return rejected.groupBy("reason", F.explode("errors").alias("error")).agg(F.count("*").alias("n_records"))
+    errors = rejected.select("reason", F.explode("errors").alias("error"))
+    return errors.groupBy("reason", "error").agg(F.count("*").alias("n_records"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
