@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidesift.session import ship_package
+
 # fixed values: suffixes of the files that are read as text
 TEXT_SUFFIXES = (".py", ".txt", ".toml", ".md", ".yaml", ".yml", ".json")
 
@@ -26,6 +28,7 @@ def map_files(
     Only the two columns are read, and nothing is shuffled. Arrow batches are read one after another, so a task holds
     one batch of files.
     """
+    ship_package(files.sparkSession)
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
