@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidesift.llm.encodings import garbled_documents
 from tidesift.llm.unparsable import parse_rates, unparsable_files
 from tidesift.session import table
 
@@ -17,6 +18,19 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(files, unparsable_files(files))
 
 
-QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
+}
 
 SQL: dict[str, str] = {}
