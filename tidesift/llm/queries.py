@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidesift.llm.encodings import garbled_documents
+from tidesift.llm.leakage import leaked_passages, removal_spans
 from tidesift.llm.unparsable import parse_rates, unparsable_files
 from tidesift.session import table
 
@@ -18,6 +20,22 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(files, unparsable_files(files))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_spans(_passages(spark, sf_dir))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -29,6 +47,9 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p7_found": p7_found,
+    "p7_spans": p7_spans,
+    "p7_items": p7_items,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
