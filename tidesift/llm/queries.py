@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from tidesift.llm.encodings import garbled_documents
 from tidesift.llm.leakage import leaked_passages, removal_spans
+from tidesift.llm.names import mapped_names, name_candidates
 from tidesift.llm.unparsable import parse_rates, unparsable_files
 from tidesift.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deps, reference = table(spark, sf_dir, "dependencies"), table(spark, sf_dir, "package_baseline")
+    return mapped_names(deps, reference).select("dep_id", "pkg_id")
+
+
+def p4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_candidates(table(spark, sf_dir, "dependencies"), table(spark, sf_dir, "package_baseline"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unparsable_files(table(spark, sf_dir, "plugin_files")).select("file_id")
 
@@ -45,6 +55,8 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_candidates": p4_candidates,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p7_found": p7_found,
