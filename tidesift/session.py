@@ -42,7 +42,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of a DataFrame, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
