@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.session import ship_package
@@ -21,11 +21,15 @@ def read_text(content: bytes) -> str:
 
 
 def map_files(
-    files: DataFrame, suffixes: tuple[str, ...], one: Callable[[int, str], Iterator[tuple]], schema: str, where: Column | None = None
+    files: DataFrame,
+    suffixes: tuple[str, ...],
+    one: Callable[..., Iterator[tuple]],
+    schema: str,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The rows that `one(file_id, text)` yields for each file with one of the suffixes and non-null content.
+    """The rows that `one(file_id, text, *extra)` yields for each file with one of the suffixes and non-null content.
 
-    Only the two columns are read, and nothing is shuffled. Arrow batches are read one after another, so a task holds
+    Only these columns are read, and nothing is shuffled. Arrow batches are read one after another, so a task holds
     one batch of files.
     """
     ship_package(files.sparkSession)
@@ -35,17 +39,15 @@ def map_files(
         types = None
         for batch in batches:
             rows: list[tuple] = []
-            ids = batch.column(0).to_pylist()
-            for key, content in zip(ids, batch.column(1)):
-                rows += one(key, read_text(content.as_py()))
+            ids, *others = (batch.column(i).to_pylist() for i in range(batch.num_columns) if i != 1)
+            for key, content, *rest in zip(ids, batch.column(1), *others):
+                rows += one(key, read_text(content.as_py()), *rest)
             types = types or [_ARROW[part.split()[1]] for part in schema.split(",")]
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     kept = files.where(F.col("suffix").isin(*suffixes) & F.col("content").isNotNull())
-    if where is not None:
-        kept = kept.where(where)
-    return kept.select("file_id", "content").mapInArrow(run, schema)
+    return kept.select("file_id", "content", *extra).mapInArrow(run, schema)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}

@@ -8,10 +8,24 @@ from pyspark.sql import functions as F
 from tidesift.llm.encodings import garbled_documents
 from tidesift.llm.leakage import leaked_passages, removal_spans
 from tidesift.llm.names import mapped_names, name_candidates
+from tidesift.llm.origin import file_layout, foreign_files
 from tidesift.llm.unparsable import parse_rates, unparsable_files
 from tidesift.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files(table(spark, sf_dir, "plugin_files"))
+
+
+def p3_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_layout(table(spark, sf_dir, "plugin_files"))
+
+
+def p3_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "plugin_files")
+    return files.where(F.col("suffix").isin(".py", ".js")).join(foreign_files(files), "file_id", "left_anti").select("file_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps, reference = table(spark, sf_dir, "dependencies"), table(spark, sf_dir, "package_baseline")
     return mapped_names(deps, reference).select("dep_id", "pkg_id")
@@ -55,6 +69,9 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_layout": p3_layout,
+    "p3_handwritten": p3_handwritten,
     "p4_found": p4_found,
     "p4_candidates": p4_candidates,
     "p6_found": p6_found,
