@@ -9,10 +9,19 @@ from tidesift.llm.encodings import garbled_documents
 from tidesift.llm.leakage import leaked_passages, removal_spans
 from tidesift.llm.names import mapped_names, name_candidates
 from tidesift.llm.origin import file_layout, foreign_files
+from tidesift.llm.secrets import credentials, redacted_files
 from tidesift.llm.unparsable import parse_rates, unparsable_files
 from tidesift.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials(table(spark, sf_dir, "plugin_files")).select("file_id", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_files(table(spark, sf_dir, "plugin_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreign_files(table(spark, sf_dir, "plugin_files"))
 
@@ -69,6 +78,8 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p3_layout": p3_layout,
     "p3_handwritten": p3_handwritten,
