@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidesift.llm.encodings import garbled_documents
 from tidesift.llm.leakage import leaked_passages, removal_spans
+from tidesift.llm.mixing import copies_of, mixing_rates, mixture, shares_reached, token_counts
 from tidesift.llm.names import mapped_names, name_candidates
 from tidesift.llm.origin import file_layout, foreign_files
 from tidesift.llm.secrets import credentials, redacted_files
 from tidesift.llm.unparsable import parse_rates, unparsable_files
-from tidesift.session import table
+from tidesift.session import shared_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,29 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def _mixing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    # sizes are used for the rates and for the mixture; as a table they are computed once
+    path = shared_path(spark, "token-counts")
+    token_counts(table(spark, sf_dir, "documents")).write.parquet(path)
+    sizes = spark.read.parquet(path)
+    return sizes, mixing_rates(sizes, table(spark, sf_dir, "source_weights"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, rates = _mixing(spark, sf_dir)
+    return shares_reached(mixture(sizes, rates), rates)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, rates = _mixing(spark, sf_dir)
+    return mixture(sizes, rates)
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, rates = _mixing(spark, sf_dir)
+    return copies_of(mixture(sizes, rates), table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no", "text")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -90,6 +114,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p7_items": p7_items,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p8_copies": p8_copies,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
