@@ -53,6 +53,8 @@ PLACEHOLDER_WORDS = (
     "ask owner removed hidden masked censored xxx xxxx foo bar baz string text env environment variable vault keyring config "
     "settings hunter demo empty missing unset required optional see docs readme use own real new old"
 ).split()
+# fixed values: ways of authentication, which stand before a value
+SCHEMES = {"basic", "bearer", "token", "digest", "negotiate", "apikey", "oauth", "hmac"}
 # fixed values: forms of tokens that issuers publish
 ISSUED = re.compile(
     r"(?<![\w+/-])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\w+/])"
@@ -62,7 +64,8 @@ ISSUED = re.compile(
     r"|(?<![\w-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}|(?<![\w-])(?:npm|pypi)[_-][A-Za-z0-9_-]{30,}"
 )
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|[\s#\"'|>*/,+\\-])*")
+_PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|[\s#\"'|>*/,+\\])*")
 _URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>{}]*:(?P<v>[^\s/@\"'<>]+)@(?=[\w\[{$.-])", re.I)
 _QUERY = re.compile(
     r"[?&;](?:(?:access|auth|api|id|refresh)[_-]?)?(?:token|key|sig|signature|secret|password|passwd|pwd|apikey|auth)=(?P<v>[^\s&\"'<>#`)\]]+)",
@@ -86,7 +89,7 @@ _LITERAL = re.compile(r"\s*[rRbBuU]{0,2}(?P<q>[\"'])(?P<v>(?:\\.|(?!(?P=q)).)*)(
 _HINT = re.compile(
     r"passw|passp|passc|pass\b[\"'\]]{0,2}\s*[=:|`]|[_-]pass\b|\bpw\b|pwd|kennwort|losung|clave|contrase|senha|motdepasse|mdp|"
     r"hasl[oł]|wachtwoord|пароль|secret|token|credential|bearer|basic |apikey|cl[eé]_|schl|llave|chave|klucz|"
-    r"key[\"'\]]{0,2}\s*(?:[=:|`]\s*(?!lambda)|is\b|$)|api[_-]|://[^\s/]*:[^\s/]*@|[?&](?:key|sig|auth)|private key|[!=]=\s*b?[\"']|"
+    r"auth(?:orization)?[\"'\]]{0,2}\s*[=:|`]|key[\"'\]]{0,2}\s*(?:[=:|`]\s*(?!lambda)|is\b|$)|api[_-]|://[^\s/]*:[^\s/]*@|[?&](?:key|sig|auth)|private key|[!=]=\s*b?[\"']|"
     r"compare_digest|akia|asia|gh[pousr]_|glpat-|sk-|hf_|xox|_live_|_test_|aiza|eyj|npm_|pypi-"
 )
 # fixed values: forms of digests and identifiers
@@ -223,9 +226,8 @@ class Finder:
         if m := _PRIVATE.search(line):
             body = _PEM_BODY.match(text, begin + m.end())
             if len(re.sub(r"[^A-Za-z0-9+/]", "", body[0].replace("\\n", ""))) >= 40:
-                tail = text.find("-----", body.end())
-                stop = text.find("-----", tail + 5) + 5 if text.startswith("-----END", body.end()) or "-----END" in text[body.end() - 8 : body.end() + 8] else body.end()
-                yield begin + m.start(), max(body.end(), stop), "private key"
+                last = _PRIVATE_END.match(text, body.end())
+                yield begin + m.start(), last.end() if last else body.start() + len(body[0].rstrip(" \t\n\"'#|>*,\\")), "private key"
                 return
         for m in ISSUED.finditer(line):
             yield begin + m.start(), begin + m.end(), "issued token"
@@ -279,7 +281,7 @@ class Finder:
                 if suffix == ".py" and not comment and not 0 <= hash_ < m.start():
                     continue
                 value = m["v"].rstrip(",;" if pattern is _BARE else ".,;:")
-                if suffix == ".toml" and not comment or _FILLER.match(value) or value.startswith(("'", '"', "[", "(", "|", ">")):
+                if value.lower() in SCHEMES or suffix == ".toml" and not comment or _FILLER.match(value) or value.startswith(("'", '"', "[", "(", "|", ">")):
                     continue
                 least = self.NAMED if pattern in (_BARE, _NETRC) else 5
                 if pattern in (_SAID, _BESIDE) and not re.search(r"[\d\W_]", value):
