@@ -100,6 +100,7 @@ _REFERENCE = re.compile(
     re.I,
 )
 _FILLER = re.compile(r"^(?:(.)\1*|(?:\.{2,}|…|-+|_+|\*+)|(?:x|X|0|\*|•|#|-|_|\.|\s)+|(?:0?123456789?0?|abc(?:def)?\d*|12345+)|none|null|true|false|nil)$", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
 _CAMEL = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿ]+|[A-Z]+(?![a-z])|[^\W\d_]+|\d+")
 
@@ -134,22 +135,23 @@ class Dictionary:
         self.longest = max(map(len, self.cost), default=1)
 
     def residual(self, literal: str) -> int:
-        """How many letters and digits the most probable cut into words leaves unexplained."""
+        """How many letters and digits the words leave unexplained: digits, and runs of letters whose most probable cut
+        isn't made of words alone."""
         text = literal.lower()
-        n = len(text)
-        # cost, unexplained characters
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+        return sum(c.isdigit() for c in text) + sum(len(run) for run in _LETTERS.findall(text) if not self._explained(run))
+
+    def _explained(self, run: str) -> bool:
+        """Viterbi over a run of letters: a step is a word of the dictionary or one letter that none explains."""
+        n = len(run)
+        best: list[tuple[float, bool]] = [(0.0, True)] + [(math.inf, False)] * n
         for i in range(n):
-            cost, left = best[i]
-            c = text[i]
-            single = (cost + self.RESIDUAL, left + 1) if c.isalnum() else (cost + 0.5, left)
-            if single < best[i + 1]:
-                best[i + 1] = single
-            if c.isalpha():
-                for j in range(i + 2, min(n, i + self.longest) + 1):
-                    w = self.cost.get(text[i:j])
-                    if w is not None and (cost + w, left) < best[j]:
-                        best[j] = (cost + w, left)
+            cost, words = best[i]
+            if cost + self.RESIDUAL < best[i + 1][0]:
+                best[i + 1] = (cost + self.RESIDUAL, False)
+            for j in range(i + 2, min(n, i + self.longest) + 1):
+                w = self.cost.get(run[i:j])
+                if w is not None and cost + w < best[j][0]:
+                    best[j] = (cost + w, words)
         return best[n][1]
 
 
@@ -263,8 +265,8 @@ class Finder:
             value = m["v"]
             if re.search(r"(?i)b64|base64|fromhex|unhex|decode", call):
                 value = decoded(value) or value
-            if " " in value.strip() and not re.search(r"[\d\W_]", value.replace(" ", "")):
-                continue  # prose
+            if " " in value.strip() and (value.split()[0].lower() in SCHEMES or value.replace(" ", "").isalpha()):
+                continue  # sent as a header, which is looked at by itself, or prose
             if self.is_secret(value, self.NAMED):
                 yield begin + m.start("v"), begin + m.end("v"), "assignment"
         for m in _DEFAULT.finditer(line):
