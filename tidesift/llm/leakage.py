@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -262,9 +263,8 @@ def leaked_passages(
     spark = docs.sparkSession
     ship_package(spark)
     found = None
-    rows: list[tuple[int, str]] = []
     source = items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator()
-    blocks = iter(lambda: [tuple(r) for r, _ in zip(source, range(block_items))], [])
+    blocks = iter(lambda: [tuple(r) for r in islice(source, block_items)], [])
     for rows in blocks:
         part = _in_block(docs.select("doc_id", F.col(text).alias("_text")).where(F.length("_text") > 0), rows, rule, shard_words)
         found = part if found is None else found.unionByName(part)

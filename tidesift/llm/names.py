@@ -11,7 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import permutations
+from itertools import islice, permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,7 +71,7 @@ class Trie:
         for pkg_id, name in entries:
             own = _SEPARATORS.sub("-", name.lower()).strip("-")
             parts = own.split("-")
-            forms = {own: 0, own.replace("-", ""): 1}
+            forms = {own.replace("-", ""): 1, own: 0}
             if 1 < len(parts) <= 4:
                 for order in permutations(parts):
                     forms.setdefault("-".join(order), 2)
@@ -150,7 +150,7 @@ def name_candidates(
     typed = deps.select(F.col(key).alias("_key"), F.col(name).alias("_name")).where(F.trim("_name") != "")
     source = reference.select("pkg_id", "name").where(F.col("name").isNotNull()).toLocalIterator()
     found = None
-    for entries in iter(lambda: [tuple(r) for r, _ in zip(source, range(block))], []):
+    for entries in iter(lambda: [tuple(r) for r in islice(source, block)], []):
         part = _search(typed, entries, key, everything)
         found = part if found is None else found.unionByName(part)
     if found is None:
