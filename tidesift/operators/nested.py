@@ -10,57 +10,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ITEM = "struct<m:map<string,variant>,a:array<variant>,k:string,node:string,parent:string,ptr:string,s:string,t:string>"
+from tidesift.session import spread
+
+_ITEM = "struct<v:variant,m:map<string,variant>,a:array<variant>,k:string,own:boolean,node:string,parent:string,ptr:string>"
 _VALUE = "struct<parent_ptr:string,node_ptr:string,value_ptr:string,value_type:string,value:string>"
 _NODE = "struct<parent_ptr:string,node_ptr:string,node_id:string,node_type:string>"
 
-#: What is known of a variant: its fields if it is an object, its elements if an array, its text if a scalar.
-_OPEN = (
-    "try_variant_get({v}, '$', 'map<string,variant>') m, try_variant_get({v}, '$', 'array<variant>') a, "
-    "try_variant_get({v}, '$', 'string') s, "
-    "if(try_variant_get({v}, '$', 'map<string,variant>') is null and try_variant_get({v}, '$', 'array<variant>') "
-    "is null, schema_of_variant({v}), null) t"
-)
+#: A variant with its fields if it is an object, and its elements if an array.
+_OPEN = "{v} v, try_variant_get({v}, '$', 'map<string,variant>') m, try_variant_get({v}, '$', 'array<variant>') a"
 
-#: The children of one item x, opened. own: the child is a node of its own.
+#: The children of one item x, opened.
 _CHILDREN = f"""
 transform(
   if(x.m is not null,
      transform(map_entries(x.m), e -> named_struct('k', e.key, 'step', replace(replace(e.key, '~', '~0'), '/', '~1'),
                                                    'v', e.value)),
-     transform(coalesce(x.a, cast(array() as array<variant>)),
-               (v, i) -> named_struct('k', cast(null as string), 'step', cast(i as string), 'v', v))),
+     transform(x.a, (v, i) -> named_struct('k', cast(null as string), 'step', cast(i as string), 'v', v))),
   c -> named_struct('k', c.k, 'step', c.step, 'o', struct({_OPEN.format(v="c.v")})))
 """
 
+#: Whether a child is a node of its own.
 _OWN = "c.o.m is not null and (x.a is not null and x.k <=> 'nodes' or _form = 'prompt' and x.node is null and x.ptr = '')"
 
 _STEP = f"""
 flatten(transform(s.open, x -> transform({_CHILDREN}, c ->
   if({_OWN},
-     named_struct('m', c.o.m, 'a', c.o.a, 'k', c.k, 'node', concat(coalesce(x.node, ''), x.ptr, '/', c.step),
-                  'parent', coalesce(x.node, ''), 'ptr', '', 's', cast(null as string), 't', 'NODE'),
-     named_struct('m', c.o.m, 'a', c.o.a, 'k', c.k, 'node', x.node, 'parent', x.parent,
-                  'ptr', concat(x.ptr, '/', c.step), 's', c.o.s, 't', c.o.t)))))
+     named_struct('v', c.o.v, 'm', c.o.m, 'a', c.o.a, 'k', c.k, 'own', true,
+                  'node', concat(coalesce(x.node, ''), x.ptr, '/', c.step), 'parent', coalesce(x.node, ''), 'ptr', ''),
+     named_struct('v', c.o.v, 'm', c.o.m, 'a', c.o.a, 'k', c.k, 'own', false, 'node', x.node, 'parent', x.parent,
+                  'ptr', concat(x.ptr, '/', c.step))))))
 """
 
 
 def _walk() -> str:
     level = f"transform(array({_STEP}), l -> cast(l as array<{_ITEM}>))[0]"
     values = (
-        "transform(filter(l, i -> i.m is null and i.a is null and i.node is not null and i.s is not null), "
-        "i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, 'value_ptr', i.ptr, 'value_type', i.t, "
-        "'value', i.s))"
+        "filter(transform(filter(l, i -> i.m is null and i.a is null and i.node is not null), "
+        "i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, 'value_ptr', i.ptr, 'value_type', "
+        "schema_of_variant(i.v), 'value', try_variant_get(i.v, '$', 'string'))), i -> i.value is not null)"
     )
     nodes = (
-        "transform(filter(l, i -> i.t <=> 'NODE'), i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, "
+        "transform(filter(l, i -> i.own), i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, "
         "'node_id', try_variant_get(i.m['id'], '$', 'string'), "
         "'node_type', try_variant_get(coalesce(i.m['class_type'], i.m['type']), '$', 'string')))"
     )
     start = f"""
-    named_struct('open', cast(array(named_struct('m', _map, 'a', cast(null as array<variant>), 'k', cast(null as string),
-                 'node', cast(null as string), 'parent', cast(null as string), 'ptr', '', 's', cast(null as string),
-                 't', cast(null as string))) as array<{_ITEM}>),
+    named_struct('open', cast(array(named_struct('v', cast(null as variant), 'm', _map, 'a', cast(null as array<variant>),
+                 'k', cast(null as string), 'own', false, 'node', cast(null as string), 'parent', cast(null as string),
+                 'ptr', '')) as array<{_ITEM}>),
                  'vals', cast(array() as array<{_VALUE}>), 'nodes', cast(array() as array<{_NODE}>))
     """
     state = f"struct<open:array<{_ITEM}>,vals:array<{_VALUE}>,nodes:array<{_NODE}>>"
@@ -82,42 +79,32 @@ def parse_workflows(df: DataFrame, key: str = "workflow_id", body: str = "body")
     # the parser ignores what follows the first value, so the body is followed by a mark which it must still reach
     mark = F.md5(F.col("_body"))
     held = F.try_parse_json(F.concat(F.lit("["), F.col("_body"), F.lit(',"'), mark, F.lit('"]')))
-    both = F.expr("try_variant_get(_doc, '$', 'array<variant>')")
-    return (
-        df.select(F.col(key).alias("_id"), F.col(body).alias("_body"))
-        .withColumn("_doc", held)
-        .withColumn("_both", both)
-        .where((F.size("_both") == 2) & F.expr("try_variant_get(_both[1], '$', 'string') = md5(_body)"))
-        .withColumn("_map", F.expr("try_variant_get(_both[0], '$', 'map<string,variant>')"))
-        .withColumn(
-            "_form",
-            F.expr(
-                "case when try_variant_get(_map['nodes'], '$', 'array<variant>') is not null then 'ui' "
-                "when size(_map) > 0 and forall(map_values(_map), "
-                "v -> coalesce(map_contains_key(try_variant_get(v, '$', 'map<string,variant>'), 'class_type'), false)) "
-                "then 'prompt' end"
-            ),
-        )
-        .where("_map is not null and _form is not null")
-        .withColumn(
-            "_depth",
-            F.expr(
-                r"""aggregate(split(regexp_replace(regexp_replace(_body, '(?s)"(?:[^"\\\\]|\\\\.)*+"', ''),
-                '[^\\[\\]{}]', ''), ''), struct(0 d, 1 m), (s, c) -> struct(
-                  if(c in ('[', '{'), s.d + 1, s.d - 1) d, greatest(s.m, if(c in ('[', '{'), s.d + 1, s.d - 1)) m), s -> s.m)"""
-            ),
-        )
-        .select("_id", "_map", "_form", "_depth")
+    bodies = spread(df.select(F.col(key).alias("_id"), F.col(body).alias("_body")).where(F.col(body).isNotNull()))
+    parsed = _once(bodies.withColumn("_doc", held), "try_variant_get(_doc, '$', 'array<variant>') _both", "_id", "_body")
+    whole = parsed.where((F.size("_both") == 2) & F.expr("try_variant_get(_both[1], '$', 'string') = md5(_body)"))
+    mapped = _once(whole, "try_variant_get(_both[0], '$', 'map<string,variant>') _map", "_id", "_body").where("_map is not null")
+    form = (
+        "case when try_variant_get(_map['nodes'], '$', 'array<variant>') is not null then 'ui' "
+        "when size(_map) > 0 and forall(map_values(_map), "
+        "v -> coalesce(map_contains_key(try_variant_get(v, '$', 'map<string,variant>'), 'class_type'), false)) "
+        "then 'prompt' end _form"
     )
+    depth = r"""aggregate(split(regexp_replace(regexp_replace(_body, '(?s)"(?:[^"\\\\]|\\\\.)*+"', ''), '[^\\[\\]{}]', ''), ''),
+        struct(0 d, 1 m), (s, c) -> struct(if(c in ('[', '{'), s.d + 1, s.d - 1) d,
+        greatest(s.m, if(c in ('[', '{'), s.d + 1, s.d - 1)) m), s -> s.m) _depth"""
+    return _once(mapped, form, "_id", "_map", "_body").where("_form is not null").select("_id", "_map", "_form", F.expr(depth))
+
+
+def _once(df: DataFrame, expression: str, *keep: str) -> DataFrame:
+    """Columns and an expression that is evaluated once a row, however often later steps use it: the result of a
+    generator isn't written into the expressions after it."""
+    return df.select(*keep, F.inline(F.expr(f"array(struct({expression}))")))
 
 
 def flatten_workflows(df: DataFrame, key: str = "workflow_id", body: str = "body") -> DataFrame:
     """key, form, vals and nodes: the two result tables of each body as arrays. Take one with node_table or value_table."""
-    return (
-        parse_workflows(df, key, body)
-        .withColumn("_flat", F.expr(_walk()))
-        .select(F.col("_id").alias(key), F.col("_form").alias("form"), "_flat.vals", "_flat.nodes")
-    )
+    walked = _once(parse_workflows(df, key, body), f"{_walk()} _flat", "_id", "_form")
+    return walked.select(F.col("_id").alias(key), F.col("_form").alias("form"), "_flat.vals", "_flat.nodes")
 
 
 def value_table(flat: DataFrame, key: str = "workflow_id") -> DataFrame:

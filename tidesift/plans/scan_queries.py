@@ -155,8 +155,10 @@ _GROUPS = """
     count(DISTINCT split_part(target, '/', 1)) AS n_owners, min(file_id) AS first_file_id
   FROM plugin_files WHERE content IS NOT NULL {0} GROUP BY 1 HAVING count(*) > 1
 """
+# its JSON functions take commas before closing brackets, which no JSON has
 _FLOWS = """
-flows AS (SELECT workflow_id, CAST(body AS JSON) AS b FROM workflows WHERE json_valid(body)),
+flows AS (SELECT workflow_id, CAST(body AS JSON) AS b FROM workflows WHERE json_valid(body)
+  AND NOT regexp_matches(regexp_replace(body, '"([^"\\\\]|\\\\.)*"', '0', 'g'), ',\\s*[\\]}]')),
 formed AS (SELECT workflow_id, b, CASE WHEN json_type(b, '/nodes') = 'ARRAY' THEN 'ui'
     WHEN json_type(b) = 'OBJECT' AND len(json_keys(b)) > 0 AND list_bool_and(list_transform(json_keys(b), lambda k:
       json_type(b, '/' || replace(replace(k, '~', '~0'), '/', '~1') || '/class_type') IS NOT NULL)) THEN 'prompt' END AS form

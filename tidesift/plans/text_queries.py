@@ -19,7 +19,7 @@ from tidesift.functions.text import (
 from tidesift.operators.deps import near_names
 from tidesift.operators.literal import literal_hits
 from tidesift.operators.verdict import verdicts
-from tidesift.session import table
+from tidesift.session import spread, table
 from tidesift.sources.signatures import PATTERN_SCHEMA
 
 #: Patterns for documents; some lie inside others, and one is in two categories.
@@ -49,7 +49,8 @@ def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(entropy(F.col("text")), 6).alias("entropy"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.round(entropy(F.col("text")), 6).alias("entropy"))
 
 
 def document_space(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,15 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return df.hint("broadcast") if plan_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least half as many partitions as tasks run at once, for work that is heavier than moving them.
+
+    Only an input too small to fill the cluster is shuffled; one that has the partitions stays where it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if 2 * df.rdd.getNumPartitions() <= tasks else df
+
+
 _shipped: set[str] = set()
 
 

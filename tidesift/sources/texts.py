@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.session import ship_package
+from tidesift.session import ship_package, spread
 from tidesift.sources.tree import TEXT_SUFFIXES
 
 
@@ -32,6 +32,6 @@ def with_text(files: DataFrame, suffixes: tuple[str, ...] = TEXT_SUFFIXES) -> Da
 
     kept = files.where(F.col("suffix").isin(*suffixes))
     size = F.coalesce(F.col("n_bytes").cast("bigint"), F.length("content").cast("bigint")).alias("n_bytes")
-    return kept.select("file_id", "target", "rel_path", "suffix", size, "content").mapInArrow(
+    return spread(kept.select("file_id", "target", "rel_path", "suffix", size, "content")).mapInArrow(
         run, "file_id bigint, target string, rel_path string, suffix string, n_bytes bigint, text string"
     )
