@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.session import ship_package
+from tidesift.session import ship_package, spread
 
 # fixed values: suffixes of the files that are read as text
 TEXT_SUFFIXES = (".py", ".txt", ".toml", ".md", ".yaml", ".yml", ".json")
@@ -47,7 +47,7 @@ def map_files(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     kept = files.where(F.col("suffix").isin(*suffixes) & F.col("content").isNotNull())
-    return kept.select("file_id", "content", *extra).mapInArrow(run, schema)
+    return spread(kept.select("file_id", "content", *extra)).mapInArrow(run, schema)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.session import ship_package
+from tidesift.session import ship_package, spread
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -297,7 +297,7 @@ def _in_block(docs: DataFrame, rows: list[tuple[int, str]], rule: Rule, shard_wo
                     shard = Shard(items)
         yield result(shard)
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, begin int, end int")
+    return spread(docs).mapInArrow(run, "doc_id bigint, item_id bigint, begin int, end int")
 
 
 def _offsets(text: str) -> list[tuple[int, int]]:

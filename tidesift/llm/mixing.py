@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.session import ship_package, small_side
+from tidesift.session import ship_package, small_side, spread
 
 #: A vocabulary file of a public tokenizer, by default where the machine keeps them; executors read it there.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -39,7 +39,7 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "n_tokens"]
             )
 
-    return docs.select("doc_id", "source", F.col(text).alias("_text")).mapInArrow(
+    return spread(docs.select("doc_id", "source", F.col(text).alias("_text"))).mapInArrow(
         run, "doc_id bigint, source string, n_tokens bigint"
     )
 

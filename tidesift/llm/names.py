@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.session import ship_package
+from tidesift.session import ship_package, spread
 
 # fixed values: letters of other alphabets that look like Latin ones, and digits and signs written for letters
 LOOKALIKES = str.maketrans("аеорсхуікмтвнѕјԁӏɡαονιγκρτυ", "aeopcxyikmtbhsjdlgaoviykptu")
@@ -180,7 +180,7 @@ def _search(typed: DataFrame, entries: list[tuple[int, str]], key: str, everythi
                 [pa.array(c, t) for c, t in zip(columns, types)], ["_key", "pkg_id", "distance", "alias", "entry"]
             )
 
-    return typed.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    return spread(typed).mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
 def mapped_names(
