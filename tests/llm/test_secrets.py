@@ -34,6 +34,12 @@ def test_nothing(suffix, text):
     assert FINDER.find(text, suffix) == []
 
 
+@pytest.mark.parametrize("filler", ["x" * 300_000, "x.y" * 20_000, "ab12" * 50_000, "a='" * 3_000, "[" * 100_000, " " * 100_000])
+def test_long_lines(filler):
+    text = f'{filler} token = "q9Zr4Tt7Ww2Yy5Uu"\n{filler}\n'
+    assert (1, "q9Zr4Tt7Ww2Yy5Uu") in [(x.line, text[x.begin : x.end]) for x in FINDER.find(text, ".py")]
+
+
 def test_parts():
     assert Dictionary({"hidden": 9}).residual("hidden-hidden") == 0 and Dictionary({}).residual("q9Zr4Tt7") == 8
     assert is_credential_name("dbPassword2") and is_credential_name("X-Api-Key") and not is_credential_name("api_token_env") and not is_credential_name("key")

@@ -66,13 +66,14 @@ ISSUED = re.compile(
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|[\s#\"'|>*/,+\\])*")
-_URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>{}]*:(?P<v>[^\s/@\"'<>]+)@(?=[\w\[{$.-])", re.I)
+_URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{0,30}://[^\s/:@\"'<>{}]*:(?P<v>[^\s/@\"'<>]+)@(?=[\w\[{$.-])", re.I)
 _QUERY = re.compile(
     r"[?&;](?:(?:access|auth|api|id|refresh)[_-]?)?(?:token|key|sig|signature|secret|password|passwd|pwd|apikey|auth)=(?P<v>[^\s&\"'<>#`)\]]+)",
     re.I,
 )
 _SENT = re.compile(r"\b(?P<how>Bearer|Basic|Token|ApiKey)\s+(?P<v>[^\s\"'`,;)\]}]+)", re.I)
-_NAME = r"(?P<n>[^\W\d][\w.-]*)"
+# only from the start of a word, and never given back, so that long lines are read once
+_NAME = r"(?<![\w.-])-{0,2}(?P<n>[^\W\d][\w.-]*+)"
 _STRING = r"(?P<p>[rRbBuUfF]{0,2})(?P<q>\"\"\"|'''|[\"'`])(?P<v>(?:\\.|(?!(?P=q)).)*?)(?P=q)"
 _GIVEN = re.compile(
     _NAME + r"[\"'`]?\s*\]?\s*(?::\s*\w+\s*=|=>|:=|=(?!=)|:(?!:))\s*(?:\w+\s*\+\s*)?(?P<call>[\w.]*\(\s*)?" + _STRING
@@ -84,7 +85,7 @@ _BESIDE = re.compile(_NAME + r"\s+[`\"'](?P<v>[^\s`\"']+)[`\"']")
 _TABLE = re.compile(r"\|\s*`?" + _NAME + r"`?\s*(?=\|\s*`?(?P<v>[^\s|`]+)`?\s*\|)")
 _NETRC = re.compile(r"\blogin\s+\S+\s+(?P<n>password)\s+(?P<v>\S+)")
 _OPENED = re.compile(_NAME + r"[\"'`]?\s*\]?\s*[=:]\s*(?:\(|\\|[>|][-+]?\d?)?\s*$")
-_COMPARED = re.compile(r"(?P<n>[\w.\]\[\"']+)\s*[!=]=\s*" + _STRING + r"|compare_digest\(\s*(?P<n2>[\w.]+)\s*,\s*b?([\"'])(?P<v2>.*?)\4")
+_COMPARED = re.compile(r"(?<![\w.\]\[\"'])(?P<n>[\w.\]\[\"']++)\s*[!=]=\s*" + _STRING + r"|compare_digest\(\s*(?P<n2>[\w.]+)\s*,\s*b?([\"'])(?P<v2>.*?)\4")
 _LITERAL = re.compile(r"\s*[rRbBuU]{0,2}(?P<q>[\"'])(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)")
 _HINT = re.compile(
     r"passw|passp|passc|pass\b[\"'\]]{0,2}\s*[=:|`]|[_-]pass\b|\bpw\b|pwd|kennwort|losung|clave|contrase|senha|motdepasse|mdp|"
