@@ -60,6 +60,31 @@ judged AS (
   FROM cells)
 """
 
+# the JSON functions take commas before closing brackets, which no JSON has
+_ITEMS = """
+RECURSIVE bodies AS (SELECT workflow_id, CAST(body AS JSON) AS b FROM workflows WHERE json_valid(body)
+  AND NOT regexp_matches(regexp_replace(body, '"([^"\\\\]|\\\\.)*"', '0', 'g'), ',\\s*[\\]}]')),
+items AS (
+  SELECT workflow_id, form, b AS v, CAST(NULL AS VARCHAR) AS k, CAST(NULL AS VARCHAR) AS node, CAST(NULL AS VARCHAR) AS parent,
+    '' AS ptr, false AS own, true AS root
+  FROM (SELECT workflow_id, b, CASE WHEN json_type(b, '/nodes') = 'ARRAY' THEN 'ui' WHEN json_type(b) = 'OBJECT'
+      AND len(json_keys(b)) > 0 AND list_bool_and(list_transform(json_keys(b), lambda k:
+        json_type(b, '/' || replace(replace(k, '~', '~0'), '/', '~1') || '/class_type') IS NOT NULL)) THEN 'prompt' END AS form
+    FROM bodies) WHERE form IS NOT NULL
+  UNION ALL
+  SELECT workflow_id, form, c, CASE WHEN json_type(v) = 'OBJECT' THEN step END,
+    CASE WHEN o THEN coalesce(node, '') || ptr || '/' || e ELSE node END,
+    CASE WHEN o THEN coalesce(node, '') ELSE parent END, CASE WHEN o THEN '' ELSE ptr || '/' || e END, o, false
+  FROM (SELECT *, json_type(c) = 'OBJECT' AND (json_type(v) = 'ARRAY' AND k IS NOT DISTINCT FROM 'nodes'
+          OR form = 'prompt' AND root) AS o
+        FROM (SELECT *, json_extract(v, '/' || e) AS c
+              FROM (SELECT *, replace(replace(step, '~', '~0'), '/', '~1') AS e
+                    FROM (SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v) WHEN 'ARRAY' THEN
+                            list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda x: CAST(x AS VARCHAR)) END) AS step
+                          FROM items))))
+)
+"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_sound": p2_sound,
@@ -70,6 +95,11 @@ QUERIES = {
 
 SQL = {
     "p2_found": f"WITH {_PARSED} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p5_found": f"""WITH {_ITEMS} SELECT workflow_id, parent AS parent_ptr, node AS node_ptr, ptr AS value_ptr FROM items
+        WHERE node IS NOT NULL AND json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
+    "p5_nodes": f"""WITH {_ITEMS} SELECT workflow_id, parent AS parent_ptr, node AS node_ptr, json_extract_string(v, '/id') AS node_id,
+        json_extract_string(v, CASE WHEN json_type(v, '/class_type') IS NULL THEN '/type' ELSE '/class_type' END) AS node_type
+        FROM items WHERE own""",
     "p2_sound": f"""WITH {_PARSED} SELECT raw_id, f[1] AS target, f[2] AS source_file, CAST(f[3] AS INTEGER) AS line,
         f[4] AS name, nullif(f[5], '') AS version, f[6] AS declared_at FROM judged WHERE reason IS NULL""",
 }
