@@ -14,6 +14,7 @@ from tidesift.functions.text import normal_name
 
 #: The environment variable that names the folder of signature files
 FOLDER_VARIABLE = "TIDESIFT_SIGNATURES"
+# fixed values: the names of signature files
 DIGESTS, URLS, NAMES, PATTERNS = "known_malware.jsonl", "malicious_urls.txt", "top_pypi_packages.txt", "patterns.json"
 DIGEST_SCHEMA = (
     "id string, name string, type string, value string, category array<string>, severity string, first_seen string, "
