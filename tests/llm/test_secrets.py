@@ -1,6 +1,6 @@
 import pytest
 
-from tidesift.llm.secrets import Dictionary, Finder, credentials, decoded, is_credential_name, redacted_files
+from tidesift.llm.secrets import Dictionary, Finder, corpus_words, credentials, decoded, is_credential_name, redacted_files
 
 FINDER = Finder(Dictionary({"hidden": 50, "sampler": 50, "example": 80}))
 KEY = "sk-" + "aB3dE5gH7jK9" * 3
@@ -54,3 +54,14 @@ def test_operator(spark, make_files):
     assert redacted[1] == "a = 1\npassword = 'REDACTED'\nb = 2\n"
     assert redacted[6].startswith('k = """REDACTED\n') and redacted[6].split("\n").index("z = 3") == 5 and "MIIabc" not in redacted[6]
     assert credentials(files.limit(0)).count() == 0
+
+
+def test_repeated_secrets(spark, make_files):
+    """Neither copies of a file nor other files with the same secret make its letters words."""
+    secret = 'password = "kranzbolt7ivemur"\n'
+    copies = [(f"a/{i}", "a.py", "import plumbing\n" + secret) for i in range(5)]
+    others = [(f"b/{i}", "b.yml", f"name: n{i}\n{secret}") for i in range(5)]
+    files = make_files(*copies, *others, *[(f"c/{i}", "c.md", f"no {i} word here\n") for i in range(10)])
+    assert sorted((r.file_id, r.line_no) for r in credentials(files).collect()) == [(i, 2) for i in range(1, 11)]
+    words = {r.word: r.n for r in corpus_words(files).collect()}
+    assert words["plumbing"] == 1 and words["word"] == 10 and not {"kranzbolt", "ivemur"} & set(words)

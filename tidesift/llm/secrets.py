@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.llm.files import TEXT_SUFFIXES, map_files, read_text
+from tidesift.session import ship_package
 
 # fixed values: words that name credentials, in several languages, and words that only do beside one of the second list
 NAMES = set(
@@ -106,19 +107,30 @@ _WORDS = re.compile(r"[^\W\d_]{2,}")
 _CAMEL = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿ]+|[A-Z]+(?![a-z])|[^\W\d_]+|\d+")
 
 
+def different_texts(files: DataFrame) -> DataFrame:
+    """content and suffixes of the text files, each different content once: grouped by a digest, which moves each different
+    content of a task once."""
+    texts = files.where(F.col("suffix").isin(*TEXT_SUFFIXES) & F.col("content").isNotNull())
+    digests = texts.select(F.sha2("content", 256).alias("_d"), "content", "suffix").groupBy("_d")
+    return digests.agg(F.first("content").alias("content"), F.collect_set("suffix").alias("suffixes"))
+
+
 def corpus_words(files: DataFrame) -> DataFrame:
-    """word and n, the number of text files that hold it; counted batch by batch before the counts are shuffled."""
+    """word and n, the number of different text files that hold it outside of the literals at places for credentials, so
+    that neither copies nor a repeated secret make a word; counted batch by batch before the counts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(Unexplained())
         for batch in batches:
             count: Counter[str] = Counter()
-            for content in batch.column(0):
-                count.update(set(_WORDS.findall(read_text(content.as_py()).lower())))
+            for content, suffixes in zip(batch.column(0), batch.column(1).to_pylist()):
+                text = finder.without_candidates(read_text(content.as_py()), suffixes)
+                count.update(set(_WORDS.findall(text.lower())))
             kept = [(w, n) for w, n in count.items() if len(w) <= 24]
             words, ns = zip(*kept) if kept else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["word", "n"])
 
-    texts = files.where(F.col("suffix").isin(*TEXT_SUFFIXES) & F.col("content").isNotNull()).select("content")
+    texts = different_texts(files).select("content", "suffixes")
     return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -156,6 +168,16 @@ class Dictionary:
         return best[n][1]
 
 
+class Unexplained(Dictionary):
+    """No words, so that every letter and digit of a literal is residual."""
+
+    def __init__(self) -> None:
+        super().__init__({})
+
+    def residual(self, literal: str) -> int:
+        return len(literal)
+
+
 def is_credential_name(name: str) -> bool:
     """Whether something of this name holds a credential."""
     if NOT_SECRET.search(name) and not re.search(r"(?i)passw|secret", name):
@@ -203,6 +225,26 @@ class Finder:
     def find(self, text: str, suffix: str) -> list[Found]:
         """In order: line (from 1), begin and end of the value in the text, and the kind of place."""
         found: dict[tuple[int, int], str] = {}
+        for a, b, kind in self._places(text, suffix):
+            if not any(a < y and x < b for x, y in found):
+                found[a, b] = kind
+        lines, at, count = [], 0, 1
+        for (a, b), kind in sorted(found.items()):
+            count += text.count("\n", at, a)
+            at = a
+            lines.append(Found(count, a, b, kind))
+        return lines
+
+    def without_candidates(self, text: str, suffixes: list[str]) -> str:
+        """The text with a space for each value that is_secret takes for one under any of the suffixes."""
+        out, at = [], 0
+        for a, b, _ in sorted(place for suffix in suffixes for place in self._places(text, suffix)):
+            if b > at:
+                out += [text[at : max(a, at)], " "]
+                at = b
+        return "".join([*out, text[at:]])
+
+    def _places(self, text: str, suffix: str) -> Iterator[tuple[int, int, str]]:
         lower = text.lower()
         done = -1
         if len(lower) != len(text):  # a letter whose lower case is longer
@@ -214,15 +256,7 @@ class Finder:
             end = text.find("\n", hint.start())
             end = len(text) if end < 0 else end
             done = end
-            for a, b, kind in self._in_line(text, begin, end, suffix):
-                if not any(a < y and x < b for x, y in found):
-                    found[a, b] = kind
-        lines, at, count = [], 0, 1
-        for (a, b), kind in sorted(found.items()):
-            count += text.count("\n", at, a)
-            at = a
-            lines.append(Found(count, a, b, kind))
-        return lines
+            yield from self._in_line(text, begin, end, suffix)
 
     def _in_line(self, text: str, begin: int, end: int, suffix: str) -> Iterator[tuple[int, int, str]]:
         line = text[begin:end]
@@ -335,13 +369,14 @@ def decoded(value: str) -> str | None:
     return None
 
 
-#: A word of the dictionary is in at least this share of the text files, so the dictionary has at most
+#: A word of the dictionary is in at least this share of the different text files, so the dictionary has at most
 #: (mean number of different words in a file) / MIN_SHARE words.
 MIN_SHARE = 2e-3
 
 
 def _dictionary(files: DataFrame) -> dict[str, int]:
-    n = files.where(F.col("suffix").isin(*TEXT_SUFFIXES)).count()
+    ship_package(files.sparkSession)
+    n = different_texts(files).count()
     least = max(3, math.ceil(MIN_SHARE * n))
     return {r.word: r.n for r in corpus_words(files).where(F.col("n") >= least).toLocalIterator()}
 
@@ -349,8 +384,8 @@ def _dictionary(files: DataFrame) -> dict[str, int]:
 def credentials(files: DataFrame) -> DataFrame:
     """One row per secret value: file_id, line_no on which the value begins, begin and end in the file's text, kind.
 
-    Reads every text file whole, twice: once for the dictionary, whose size is bounded by MIN_SHARE, once for the
-    search. Null and empty content gives no row; files delivered twice give theirs each. Several secrets of a line each
+    Reads every text file whole, twice: once for the dictionary, whose size is bounded by MIN_SHARE and which moves each
+    different content once, once for the search. Null and empty content gives no row; files delivered twice give theirs each. Several secrets of a line each
     give a row.
     """
     sent = files.sparkSession.sparkContext.broadcast(_dictionary(files))
