@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidesift.operators.deps import advisory_findings, manifest_counts, manifest_lines, name_findings, near_names, parsed_dependencies
@@ -171,3 +172,12 @@ def test_counters_and_score(spark, make_files):
     assert got["x"][0] == 1.0 and len(got["x"][1]) == 6 and got["x"][1][0] == "decoded and evaluated (1)"
     assert {(r.target, r.severity) for r in risk_findings(scores).collect()} == {("m", "critical"), ("x", "critical")}
     assert scores.where(F.col("dangerous_call_density") > 100).count() == 2
+
+
+@pytest.mark.parametrize("more", [0, 100])  # joined to lines, and searched with an automaton
+def test_literals_after_padding(spark, more):
+    text = "x" * 1000 + "\n"
+    texts = spark.createDataFrame([(1, text * 2200 + "late eval(x)\n"), (2, "y" * 2_200_000 + "eval(")], "k bigint, text string")
+    rows = [("eval(", "code", "high", "CWE-95", 0)] + [(f"none{i}", "other", "low", "CWE-1", i + 1) for i in range(more)]
+    patterns = spark.createDataFrame(rows, "pattern string, category string, severity string, cwe string, ordinal int")
+    assert sorted((r.k, r.line, r.pattern) for r in literal_hits(texts, patterns, "k").select("k", "line", "pattern").collect()) == [(1, 2201, "eval("), (2, 1, "eval(")]

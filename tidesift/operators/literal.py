@@ -13,8 +13,7 @@ from tidesift.functions.text import cut_within, stripped
 from tidesift.schema import as_findings, known_severity
 from tidesift.session import ship_package
 
-#: How many characters of a file are searched, and how many patterns a join by substring is used for
-MAX_CHARACTERS = 2 * 1024 * 1024
+#: How many patterns a join by substring is used for
 SUBSTRING_PATTERNS = 64
 #: Patterns are sent to every task; there may be so many at most.
 MOST_PATTERNS = 100_000
@@ -84,7 +83,7 @@ def _search(texts: DataFrame, patterns: tuple[str, ...], key: str) -> DataFrame:
 
 def literal_hits(texts: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
     """key, line, line_text, pattern, category, severity, cwe: every pattern in every line, overlapping ones too, each
-    once a line. The first MAX_CHARACTERS characters of a text are searched, as a rule of the operator.
+    once a line. Texts are searched to their end, however long they are.
 
     Few patterns are joined to lines by substring, in the JVM; more are searched with one automaton per task. Either
     way the texts stay where they are, and the patterns, which are limited in number, are sent to the tasks.
@@ -93,12 +92,11 @@ def literal_hits(texts: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
     names = tuple(r.pattern for r in first.select("pattern").orderBy("pattern").limit(MOST_PATTERNS + 1).toLocalIterator())
     if len(names) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns")
-    capped = texts.select(key, F.substring("text", 1, MAX_CHARACTERS).alias("text"))
     if len(names) > SUBSTRING_PATTERNS or any("\n" in n for n in names):
-        return _search(capped, names, key).join(F.broadcast(first), "pattern").select(
+        return _search(texts, names, key).join(F.broadcast(first), "pattern").select(
             key, "line", "line_text", "pattern", "category", "severity", "cwe"
         )
-    lines = capped.select(key, F.posexplode(F.split("text", "\n", -1)).alias("_i", "line_text"))
+    lines = texts.select(key, F.posexplode(F.split("text", "\n", -1)).alias("_i", "line_text"))
     return lines.join(F.broadcast(first), F.col("line_text").contains(F.col("pattern"))).select(
         key, (F.col("_i") + 1).alias("line"), "line_text", "pattern", "category", "severity", "cwe"
     )
