@@ -66,6 +66,8 @@ ISSUED = re.compile(
 )
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# header lines of an armor, as `Version: 1` or `DEK-Info: ...`, between its first line and its body
+_PEM_HEADERS = re.compile(r"(?:(?:\\n|[\s#\"'|>*/,+\\])*[A-Z][A-Za-z0-9-]*:[ \t](?:(?!\\n)[^\n])*)*+")
 _PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|[\s#\"'|>*/,+\\])*")
 _URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{0,30}://[^\s/:@\"'<>{}]*:(?P<v>[^\s/@\"'<>]+)@(?=[\w\[{$.-])", re.I)
 _QUERY = re.compile(
@@ -87,7 +89,12 @@ _TABLE = re.compile(r"\|\s*`?" + _NAME + r"`?\s*(?=\|\s*`?(?P<v>[^\s|`]+)`?\s*\|
 _NETRC = re.compile(r"\blogin\s+\S+\s+(?P<n>password)\s+(?P<v>\S+)")
 _OPENED = re.compile(_NAME + r"[\"'`]?\s*\]?\s*[=:]\s*(?:\(|\\|[>|][-+]?\d?)?\s*$")
 _COMPARED = re.compile(r"(?<![\w.\]\[\"'])(?P<n>[\w.\]\[\"']++)\s*[!=]=\s*" + _STRING + r"|compare_digest\(\s*(?P<n2>[\w.]+)\s*,\s*b?([\"'])(?P<v2>.*?)\4")
-_LITERAL = re.compile(r"\s*[rRbBuU]{0,2}(?P<q>[\"'])(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)")
+# a literal in the text, over several lines if its quotes are triple, and what may stand between two that are joined
+_PIECE = re.compile(
+    r"(?P<p>[rRbBuUfF]{0,2})(?:(?P<t>\"\"\"|''')(?P<w>(?s:\\.|(?!(?P=t)).)*+)(?P=t)|(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*+)(?P=q))"
+)
+_PLUS = re.compile(r"[ \t]*(?:\\\n[ \t]*)?\+[ \t]*(?:\\?[ \t]*\n[ \t]*)?|[ \t]*\\\n[ \t]*")
+_BREAK = re.compile(r"(?:\s|#[^\n]*\n)*+(?:\+(?:\s|#[^\n]*\n)*+)?")
 _HINT = re.compile(
     r"passw|passp|passc|pass\b[\"'\]]{0,2}\s*[=:|`]|[_-]pass\b|\bpw\b|pwd|kennwort|losung|clave|contrase|senha|motdepasse|mdp|"
     r"hasl[oł]|wachtwoord|пароль|secret|token|credential|bearer|basic |apikey|cl[eé]_|schl|llave|chave|klucz|"
@@ -201,6 +208,8 @@ class Found:
     begin: int
     end: int
     kind: str
+    #: begins and ends of the further pieces of a value that is split
+    more: tuple[tuple[int, int], ...] = ()
 
 
 class Finder:
@@ -224,27 +233,36 @@ class Finder:
 
     def find(self, text: str, suffix: str) -> list[Found]:
         """In order: line (from 1), begin and end of the value in the text, and the kind of place."""
-        found: dict[tuple[int, int], str] = {}
-        for a, b, kind in self._places(text, suffix):
-            if not any(a < y and x < b for x, y in found):
-                found[a, b] = kind
+        found: dict[tuple[int, int], tuple[str, list[tuple[int, int]]]] = {}
+        taken: dict[tuple[int, int], tuple[int, int]] = {}
+        for a, b, kind, *more in self._places(text, suffix):
+            spans = {(a, b), *more}
+            known = {(x, y): s for x, y in spans for (v, w), s in taken.items() if x < w and v < y}
+            key = next(iter(known.values()), (a, b))
+            if known:  # a piece of a value that is already found
+                found[key][1].extend(spans - set(known))
+            else:
+                found[key] = (kind, more)
+            taken.update((span, key) for span in spans - set(known))
         lines, at, count = [], 0, 1
-        for (a, b), kind in sorted(found.items()):
+        for (a, b), (kind, more) in sorted(found.items()):
             count += text.count("\n", at, a)
             at = a
-            lines.append(Found(count, a, b, kind))
+            lines.append(Found(count, a, b, kind, tuple(sorted(more))))
         return lines
 
     def without_candidates(self, text: str, suffixes: list[str]) -> str:
         """The text with a space for each value that is_secret takes for one under any of the suffixes."""
         out, at = [], 0
-        for a, b, _ in sorted(place for suffix in suffixes for place in self._places(text, suffix)):
+        places = (place for suffix in suffixes for place in self._places(text, suffix))
+        for a, b in sorted(span for a, b, _, *more in places for span in ((a, b), *more)):
             if b > at:
                 out += [text[at : max(a, at)], " "]
                 at = b
         return "".join([*out, text[at:]])
 
-    def _places(self, text: str, suffix: str) -> Iterator[tuple[int, int, str]]:
+    def _places(self, text: str, suffix: str) -> Iterator[tuple]:
+        """Begin and end of each value, the kind of place, and begins and ends of the value's further pieces."""
         lower = text.lower()
         done = -1
         if len(lower) != len(text):  # a letter whose lower case is longer
@@ -258,10 +276,10 @@ class Finder:
             done = end
             yield from self._in_line(text, begin, end, suffix)
 
-    def _in_line(self, text: str, begin: int, end: int, suffix: str) -> Iterator[tuple[int, int, str]]:
+    def _in_line(self, text: str, begin: int, end: int, suffix: str) -> Iterator[tuple]:
         line = text[begin:end]
         if m := _PRIVATE.search(line):
-            body = _PEM_BODY.match(text, begin + m.end())
+            body = _PEM_BODY.match(text, _PEM_HEADERS.match(text, begin + m.end()).end())
             if len(re.sub(r"[^A-Za-z0-9+/]", "", body[0].replace("\\n", ""))) >= 40:
                 last = _PRIVATE_END.match(text, body.end())
                 yield begin + m.start(), last.end() if last else body.start() + len(body[0].rstrip(" \t\n\"'#|>*,\\")), "private key"
@@ -290,23 +308,27 @@ class Finder:
             if " " not in value and self.is_secret(value, self.NAMED if named else self.COMPARED, True):
                 yield begin + m.start(group), begin + m.end(group), "comparison"
 
-    def _assigned(self, text: str, begin: int, end: int, line: str, suffix: str) -> Iterator[tuple[int, int, str]]:
+    def _assigned(self, text: str, begin: int, end: int, line: str, suffix: str) -> Iterator[tuple]:
         for m in _GIVEN.finditer(line):
             if not is_credential_name(m["n"]) or "f" in m["p"].lower() and "{" in m["v"]:
                 continue
             call = (m["call"] or "").rstrip(" (")
             if re.search(r"(?i)getpass|input|environ|getenv|\bget$|config|lookup|read|open|load|prompt|join|field|argument", call):
                 continue
-            value = m["v"]
+            spans = self._pieces(text, begin + m.start("p"), suffix, begin, call_opened=m["call"] is not None)
+            if not spans:
+                continue
+            value = "".join(text[a:b] for a, b in spans)
             if re.search(r"(?i)b64|base64|fromhex|unhex|decode", call):
                 value = decoded(value) or value
             if " " in value.strip() and (value.split()[0].lower() in SCHEMES or value.replace(" ", "").isalpha()):
                 continue  # sent as a header, which is looked at by itself, or prose
             if self.is_secret(value, self.NAMED):
-                yield begin + m.start("v"), begin + m.end("v"), "assignment"
+                yield *spans[0], "assignment", *spans[1:]
         for m in _DEFAULT.finditer(line):
-            if is_credential_name(m["n"]) and self.is_secret(m["v"], self.NAMED):
-                yield begin + m.start("v"), begin + m.end("v"), "default"
+            if is_credential_name(m["n"]) and (spans := self._pieces(text, begin + m.start("p"), suffix, begin, True)):
+                if self.is_secret("".join(text[a:b] for a, b in spans), self.NAMED):
+                    yield *spans[0], "default", *spans[1:]
         comment = line.lstrip().startswith(("#", "//", "*", "--", ";", ">", "-")) or suffix in (".md", ".txt")
         hash_ = line.find("#")
         for pattern, kind in ((_NETRC, "netrc"), (_TABLE, "table"), (_SAID, "prose"), (_BESIDE, "prose"), (_BARE, "assignment")):
@@ -327,26 +349,74 @@ class Finder:
                     yield begin + m.start("v"), begin + m.start("v") + len(value), kind
         # the value may stand on the lines below
         if (m := _OPENED.search(line)) and is_credential_name(m["n"]):
-            at, parts, first = end + 1, [], None
-            while at < len(text) and len(parts) < 64:
-                stop = text.find("\n", at)
-                stop = len(text) if stop < 0 else stop
-                below = text[at:stop]
-                if (lit := _LITERAL.match(below)) is not None:
-                    first = first or (at + lit.start("v"), at + lit.end("v"))
-                    parts.append(lit["v"])
-                elif suffix in (".yml", ".yaml") and not parts and below.startswith((" ", "\t")) and ":" not in below.split("#")[0]:
-                    word = below.strip()
-                    first = (at + below.index(word), at + below.index(word) + len(word)) if word else None
-                    parts.append(word)
-                    break
-                else:
+            at = end + 1
+            while text[at : at + 1] in (" ", "\t"):
+                at += 1
+            spans = self._pieces(text, at, suffix, begin, m[0].rstrip().endswith("("))
+            if not spans and suffix in (".yml", ".yaml"):
+                spans = self._block(text, end + 1, line, m[0].rstrip()[-1] not in ":=")
+            if spans and self.is_secret("".join(text[a:b] for a, b in spans), self.NAMED):
+                yield *spans[0], "below", *spans[1:]
+
+    def _pieces(self, text: str, at: int, suffix: str, begin: int, call_opened: bool) -> list[tuple[int, int]]:
+        """Begins and ends of the literal at `at` and of those that are joined to it; of literals over several lines, those
+        of the lines that aren't empty. Nothing if there is no literal, or one of several lines is text with spaces.
+        begin: that of the line with the name."""
+        pieces: list[tuple[int, int]] = []
+        sure = None  # how many pieces are joined whatever follows
+        while m := _PIECE.match(text, at):
+            group = "w" if m["t"] else "v"
+            if "f" in m["p"].lower() and "{" in m[group]:
+                break
+            pieces.append(m.span(group))
+            at = last = m.end()
+            if gap := _PLUS.match(text, at):
+                at = gap.end()
+            elif call_opened or suffix == ".py":
+                at = (gap := _BREAK.match(text, at)).end()
+                if "\n" in gap[0] and not call_opened and sure is None and _PIECE.match(text, at):
+                    indent = len(text[begin : begin + 200]) - len(text[begin : begin + 200].lstrip(" \t"))
+                    deeper = at - text.rfind("\n", 0, at) - 1 > indent
+                    sure = None if deeper else len(pieces)
+                    call_opened = deeper
+            else:
+                break
+        if sure is not None and not re.compile(r"\s*[,)\]}]").match(text, last):
+            pieces = pieces[:sure]  # a statement of its own follows
+        return self._lines(text, pieces)
+
+    @staticmethod
+    def _lines(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        if not any("\n" in text[a:b] for a, b in pieces):
+            return [(a, b) for a, b in pieces if b > a]
+        spans = []
+        for a, b in pieces:
+            for m in re.compile(r"[^\n]+").finditer(text, a, b):
+                part = m[0].rstrip(" \t\\" if m.end() < b else " \t")
+                lead = len(part) - len(part.lstrip())
+                if part.strip():
+                    spans.append((m.start() + lead, m.start() + len(part)))
+        return [] if len(spans) > 1 and any(re.search(r"\s", text[a:b]) for a, b in spans) else spans
+
+    def _block(self, text: str, at: int, line: str, scalar: bool) -> list[tuple[int, int]]:
+        """Begins and ends of the lines of a YAML value below its name: of a block scalar, or of plain text."""
+        indent, spans = len(line) - len(line.lstrip()), []
+        while at < len(text):
+            stop = text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            below = text[at:stop]
+            word = below.strip()
+            if word:
+                deep = len(below) - len(below.lstrip())
+                if deep == 0 or (scalar or spans) and deep <= indent or not scalar and ":" in below.split("#")[0]:
                     break
-                if below.rstrip().endswith(")") or not re.search(r"[\"'\\+(]\s*$", below):
+                spans.append((at + deep, at + deep + len(word)))
+                if not scalar and word.startswith("-"):
                     break
-                at = stop + 1
-            if first and self.is_secret("".join(parts), self.NAMED):
-                yield *first, "below"
+            elif not scalar:
+                break
+            at = stop + 1
+        return [] if len(spans) > 1 and any(re.search(r"\s", text[a:b]) for a, b in spans) else spans
 
     def _login(self, value: str) -> bool:
         plain = decoded(value)
@@ -386,7 +456,7 @@ def credentials(files: DataFrame) -> DataFrame:
 
     Reads every text file whole, twice: once for the dictionary, whose size is bounded by MIN_SHARE and which moves each
     different content once, once for the search. Null and empty content gives no row; files delivered twice give theirs each. Several secrets of a line each
-    give a row.
+    give a row, and a value in several pieces one, with begin and end of its first.
     """
     sent = files.sparkSession.sparkContext.broadcast(_dictionary(files))
     finder: list[Finder] = []
@@ -413,9 +483,9 @@ def redacted_files(files: DataFrame, mark: str = "REDACTED") -> DataFrame:
         secrets = finder[0].find(text, suffix)
         if secrets:
             out, at = [], 0
-            for x in secrets:
-                out += [text[at : x.begin], mark, "\n" * text.count("\n", x.begin, x.end)]
-                at = x.end
+            for begin, end in sorted(span for x in secrets for span in ((x.begin, x.end), *x.more)):
+                out += [text[at:begin], mark, "\n" * text.count("\n", begin, end)]
+                at = end
             yield key, len(secrets), "".join([*out, text[at:]])
 
     return map_files(files, TEXT_SUFFIXES, one, "file_id bigint, n_secrets int, text string", ("suffix",))
