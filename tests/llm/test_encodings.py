@@ -49,3 +49,19 @@ def test_operator(spark):
     got = {r.doc_id: r.restored for r in garbled_documents(docs).collect()}
     assert got == {31: "Die Größe: It’s", 32: "Die Größe: It’s"}
     assert garbled_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("texts", [50, 900, 1100, 100_000])
+@pytest.mark.parametrize("right", ["αλφα", "😀", "한국", "سلام", "→"])
+def test_characters_that_the_corpus_lacks(texts, right):
+    """Whether plainly valid UTF-8 is read doesn't depend on the size of the corpus, or on its characters."""
+    wrong = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in right.encode())
+    model = Model({"the": texts // 2}, dict.fromkeys(set(wrong), 1), texts)
+    assert restore_text(model, f"the {wrong} the") == (f"the {right} the", 1)
+    assert restore_text(model, f"the {right} the")[1] == 0
+
+
+@pytest.mark.parametrize("texts", [50, 100_000])
+def test_chance_sequences(texts):
+    model = Model({"the": texts // 2}, {"É": max(2, texts // 50), "»": max(2, texts // 50), "«": max(2, texts // 50)}, texts)
+    assert restore_text(model, "the «CAFÉ» the")[1] == 0

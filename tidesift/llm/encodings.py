@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,6 +91,20 @@ def _swap(right: str, wrong: str) -> dict[int, str]:
     return table
 
 
+def _utf8_at(code: list[int | None], i: int) -> tuple[str, int] | None:
+    """The assigned character whose UTF-8 form starts at i, none of its bytes lost, and where that ends."""
+    lead = code[i]
+    size = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+    form = code[i : i + size]
+    if len(form) < size or not all(x is not None and 0x80 <= x < 0xC0 for x in form[1:]):
+        return None
+    try:
+        c = bytes(form).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return (c, i + size) if len(c) == 1 and c != LOST and unicodedata.category(c) != "Cn" else None
+
+
 class Model:
     """Words and characters of the corpus with their counts, and the search for originals."""
 
@@ -104,10 +119,10 @@ class Model:
         for w in sorted(words, key=lambda w: (words[w], w)):
             if not w.isascii() and words[w] >= max(2, FAMILIAR * self.texts / 2):
                 self.skeletons[re.sub(r"[^\x00-\x7f]", LOST, w)] = w
-        #: known characters by the first byte of their UTF-8 form
+        #: known characters by the first byte of their UTF-8 form, for sequences with lost bytes
         self.by_lead: dict[int, list[tuple[bytes, str, float]]] = {}
         for c, p in self.log_char.items():
-            if ord(c) >= 0xA0 and c != LOST and (characters.get(c, 2) > 1 or self.texts < 1000):
+            if ord(c) >= 0xA0 and c != LOST:
                 code = c.encode("utf-8", "ignore")
                 if code:
                     self.by_lead.setdefault(code[0], []).append((code, c, p))
@@ -143,6 +158,13 @@ class Model:
                 best[i + 1] = (stay, i, here)
             if b is not None and b < 0xC2:
                 continue
+            if b is not None and (whole := _utf8_at(code, i)):
+                c, j = whole
+                p = -4.0 if c < "\xa0" else self.log_char.get(c, self.unseen)
+                if at + p > best[j][0]:
+                    best[j] = (at + p, i, c)
+            if None not in code[i : i + 4]:
+                continue
             for lead in self.by_lead if b is None else (b,):
                 for form, c, p in self.by_lead.get(lead, ()):
                     j = i + len(form)
@@ -161,6 +183,12 @@ class Model:
             i = before
         return "".join(reversed(out)) if read else None
 
+    def _novelty(self, read: str, token: str) -> float:
+        """What a reading with characters that the corpus and the token lack costs besides: a short sequence can be valid by chance, a
+        long one or several hardly."""
+        sizes = [len(c.encode("utf-8", "ignore")) for c in read if c > "\xa0" and c not in self.log_char and c not in token and c != LOST]
+        return {2: 10.0, 3: 2.0}.get(sizes[0], 0.0) if len(sizes) == 1 else 0.0
+
     def _as_utf8(self, token: str) -> Iterator[str]:
         """Readings of a token as UTF-8 text that was read with another encoding."""
         for wrong in SINGLE:
@@ -255,7 +283,7 @@ class Model:
             own = self.score(now)
             best, gain = None, 0.0
             for read in self._as_utf8(now):
-                if (g := self.score(read) - own) > gain or LOST in read and LOST not in now and best is None:
+                if (g := self.score(read) - own - self._novelty(read, now)) > gain or LOST in read and LOST not in now and best is None:
                     best, gain = read, max(g, gain)
             for read in self._as_multi(now):
                 if (g := self.score(read) - own) > gain:
