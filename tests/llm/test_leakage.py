@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidesift.llm.leakage import FmIndex, Items, Rule, Shard, leaked_passages, removal_spans, words_of
+from tidesift.llm.leakage import FmIndex, Items, Rule, Shard, _readings, leaked_passages, removal_spans, words_of
 
 
 def test_index_counts_and_locates():
@@ -81,3 +81,29 @@ def test_operator(spark):
         assert s.begin > by_doc.get(s.doc_id, -1) and s.item_ids == sorted(set(s.item_ids))
         by_doc[s.doc_id] = s.end
     assert leaked_passages(df.limit(0), evals).count() == leaked_passages(df, evals.limit(0)).count() == 0
+
+
+LEAKED = " ".join(f"word{i}" for i in range(30))
+
+
+def _spans(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, LEAKED)], "item_id bigint, text string")
+    return [text[r.begin : r.end] for r in removal_spans(leaked_passages(docs, items)).collect()]
+
+
+def test_letters_that_fold_to_more(spark):
+    """'İ' folds to a letter and a mark that is none."""
+    assert _spans(spark, "İstanbul İİ xİx " * 5 + LEAKED) == [LEAKED]
+
+
+def test_markup_only_separates(spark):
+    marked = "".join(f'<em class="x y">word{i}</em>&nbsp;' if i % 3 == 0 else f"word{i} " for i in range(30))
+    found = _spans(spark, f"<p>before</p> {marked} after")
+    assert len(found) == 1 and found[0].startswith("word0") and found[0].endswith("word29")
+    assert _spans(spark, f'<img alt="{LEAKED}"> <!-- note -->') == [LEAKED]
+
+
+def test_long_markup():
+    for filler in ("<a " * 100_000, "<!--" * 20_000, "&" * 300_000, "<a b='" * 50_000, "<" * 300_000):
+        assert all(words[-1] == "end" for words in _readings(filler + " end"))

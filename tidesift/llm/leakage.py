@@ -21,6 +21,11 @@ from pyspark.sql import functions as F
 from tidesift.session import ship_package, spread
 
 _WORD = re.compile(r"[^\W_]+")
+# tags, comments and entities of markup, which aren't words
+_MARKUP = re.compile(
+    r"<!--(?:(?!-->|<!--)(?s:.))*+-->|</?[A-Za-z][\w:-]*+(?:\s+[\w:.@-]++(?:\s*=\s*(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=]++))?)*+\s*/?>"
+    r"|&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+)
 
 
 class FmIndex:
@@ -132,8 +137,8 @@ class Items:
         self.keys: list[int] = []
         self.words: list[np.ndarray] = []
         grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for key, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text or "")]
+        for key, words in ((key, words) for key, text in items for words in _readings(text or "")):
+            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words]
             if len(numbers) < rule.min_words:
                 continue
             for p in range(len(numbers) - rule.seed + 1):
@@ -148,7 +153,13 @@ class Items:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.casefold())
+    return [w.casefold() for w in _WORD.findall(text)]  # as many as _offsets has
+
+
+def _readings(text: str) -> list[list[str]]:
+    """The words of a text, and if it has markup also those outside of it."""
+    plain = _without_markup(text)
+    return [words_of(text)] + ([words_of(plain)] if plain != text else [])
 
 
 class Shard:
@@ -157,12 +168,22 @@ class Shard:
     def __init__(self, items: Items):
         self.items = items
         self.keys: list[int] = []
+        #: the text of each reading, and which document of the shard it is of
         self.texts: list[str] = []
+        self.of: list[int] = []
+        self.added = 0
         self.starts: list[int] = [0]
         self.numbers: list[np.ndarray] = []
         self.size = 0
 
     def add(self, key: int, text: str) -> None:
+        """A document as it is, and if it has markup also with spaces for that."""
+        plain = _without_markup(text)
+        for reading in (text,) if plain == text else (text, plain):
+            self._add(key, reading)
+        self.added += 1
+
+    def _add(self, key: int, text: str) -> None:
         get = self.items.vocabulary.get
         numbers = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
         known = np.concatenate(([0], np.cumsum(numbers > 0)))
@@ -170,6 +191,7 @@ class Shard:
             return
         self.keys.append(key)
         self.texts.append(text)
+        self.of.append(self.added)
         self.numbers.append(numbers)
         self.starts.append(self.starts[-1] + len(numbers))
         self.size += int(known[-1])
@@ -257,8 +279,9 @@ def leaked_passages(
 
     Documents are read once for each block of items, whole, in shards of about shard_words words; nothing is shuffled.
     The items of a block are sent to every task, so their number is bounded. Null, empty and short texts give no row;
-    each copy of a document gives its own rows; an item shorter than a passage can't leak. Word numbers are folded in
-    case; everything between words is ignored.
+    each copy of a document gives its own rows; an item shorter than a passage can't leak. Words are folded in
+    case one by one; everything between words is ignored. A text with
+    markup is searched as it is and without its tags, comments and entities.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -278,10 +301,12 @@ def _in_block(docs: DataFrame, rows: list[tuple[int, str]], rule: Rule, shard_wo
         items = Items(sent.value, rule)
 
         def result(shard: Shard) -> pa.RecordBatch:
-            out = []
+            spans: dict[tuple[int, int, int], set[tuple[int, int]]] = {}
             for doc, item, a, b in shard.passages():
                 words = _offsets(shard.texts[doc])
-                out.append((shard.keys[doc], items.keys[item], words[a][0], words[b - 1][1]))
+                place = (shard.of[doc], shard.keys[doc], items.keys[item])
+                spans.setdefault(place, set()).add((words[a][0], words[b - 1][1]))
+            out = [(key, item, *span) for (_, key, item), found in spans.items() for span in _outermost(found)]
             columns = list(zip(*out)) if out else [(), (), (), ()]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays(
@@ -304,6 +329,20 @@ def _offsets(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
+def _without_markup(text: str) -> str:
+    """The text with spaces for tags, comments and entities, so that places stay."""
+    return _MARKUP.sub(lambda m: " " * len(m[0]), text) if "<" in text or "&" in text else text
+
+
+def _outermost(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those that lie in no other one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def removal_spans(passages: DataFrame) -> DataFrame:
     """Overlapping passages of a document merged: doc_id, begin, end, item_ids (sorted)."""
     ordered = passages.groupBy("doc_id").agg(
