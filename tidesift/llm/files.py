@@ -9,15 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.session import ship_package, spread
+from tidesift.sources.texts import decode_text
 
-# fixed values: suffixes of the files that are read as text
-TEXT_SUFFIXES = (".py", ".txt", ".toml", ".md", ".yaml", ".yml", ".json")
-
-
-def read_text(content: bytes) -> str:
-    """UTF-8 with invalid bytes dropped; every line end becomes a line feed."""
-    text = content.decode("utf-8", "ignore")
-    return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+_ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
+    "array<bigint>": pa.list_(pa.int64()),
+}
 
 
 def map_files(
@@ -26,28 +23,28 @@ def map_files(
     one: Callable[..., Iterator[tuple]],
     schema: str,
     extra: tuple[str, ...] = (),
+    nulls: bool = False,
 ) -> DataFrame:
-    """The rows that `one(file_id, text, *extra)` yields for each file with one of the suffixes and non-null content.
+    """The rows that `one(file_id, text, *extra)` yields for each file with one of the suffixes and non-null content; with
+    nulls, for one with null content too, with text None.
 
     Only these columns are read, and nothing is shuffled. Arrow batches are read one after another, so a task holds
     one batch of files.
     """
     ship_package(files.sparkSession)
-    names = [part.split()[0] for part in schema.split(",")]
+    names, kinds = zip(*(part.split() for part in schema.split(",")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
+        types = [_ARROW[kind] for kind in kinds]
         for batch in batches:
             rows: list[tuple] = []
             ids, *others = (batch.column(i).to_pylist() for i in range(batch.num_columns) if i != 1)
             for key, content, *rest in zip(ids, batch.column(1), *others):
-                rows += one(key, read_text(content.as_py()), *rest)
-            types = types or [_ARROW[part.split()[1]] for part in schema.split(",")]
+                raw = content.as_py()
+                rows += one(key, None if raw is None else decode_text(raw), *rest)
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    kept = files.where(F.col("suffix").isin(*suffixes) & F.col("content").isNotNull())
+    kept = files.where(F.col("suffix").isin(*suffixes))
+    kept = kept if nulls else kept.where(F.col("content").isNotNull())
     return spread(kept.select("file_id", "content", *extra)).mapInArrow(run, schema)
-
-
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}

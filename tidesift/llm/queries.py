@@ -9,7 +9,7 @@ from tidesift.llm.encodings import garbled_documents
 from tidesift.llm.leakage import leaked_passages, removal_spans
 from tidesift.llm.mixing import copies_of, mixing_rates, mixture, shares_reached, token_counts
 from tidesift.llm.names import mapped_names, name_candidates
-from tidesift.llm.origin import file_layout, foreign_files
+from tidesift.llm.origin import file_layout, foreign_files, judged_files
 from tidesift.llm.secrets import credentials, redacted_files
 from tidesift.llm.unparsable import parse_rates, unparsable_files
 from tidesift.session import shared_path, table
@@ -32,8 +32,7 @@ def p3_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "plugin_files")
-    return files.where(F.col("suffix").isin(".py", ".js")).join(foreign_files(files), "file_id", "left_anti").select("file_id")
+    return judged_files(table(spark, sf_dir, "plugin_files")).where("kind is null").select("file_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.llm.files import TEXT_SUFFIXES, map_files, read_text
+from tidesift.llm.files import map_files
 from tidesift.session import ship_package
+from tidesift.sources.texts import decode_text
+from tidesift.sources.tree import TEXT_SUFFIXES
 
 # fixed values: words that name credentials, in several languages, and words that only do beside one of the second list
 NAMES = set(
@@ -131,7 +133,7 @@ def corpus_words(files: DataFrame) -> DataFrame:
         for batch in batches:
             count: Counter[str] = Counter()
             for content, suffixes in zip(batch.column(0), batch.column(1).to_pylist()):
-                text = finder.without_candidates(read_text(content.as_py()), suffixes)
+                text = finder.without_candidates(decode_text(content.as_py()), suffixes)
                 count.update(set(_WORDS.findall(text.lower())))
             kept = [(w, n) for w, n in count.items() if len(w) <= 24]
             words, ns = zip(*kept) if kept else ((), ())
