@@ -21,20 +21,29 @@ def test_automaton_against_a_table():
     r = random.Random(2)
     names = sorted({"".join(r.choice("abc-") for _ in range(r.randint(3, 9))).strip("-") or "abc" for _ in range(60)})
     trie = Trie(list(enumerate(names)))
-    for _ in range(150):
-        word = "".join(r.choice("abc-") for _ in range(r.randint(1, 9)))
-        for limit in (0, 1, 2):
+    words = ["".join(r.choice("abc-") for _ in range(r.randint(1, 9))) for _ in range(150)] + [names[0] + "é", "ab" * 40]
+    for limit in (0, 1, 2):
+        for block in (400_000, 7):
             got = {}
-            for x in trie.search(word, limit):
-                if x.alias == 0:
-                    got[x.name] = min(x.distance, got.get(x.name, 9))
-            for n in names:
-                form = "-".join(p for p in n.replace("--", "-").split("-")) if "--" not in n else None
-                if form is None:
-                    continue
-                d = _distance(word, n)
-                longest = max(len(word.replace("-", "")), len(n.replace("-", "")))
-                assert got.get(n) == (d if d <= limit and d <= allowed_distance(longest) else None), (word, n, limit)
+            for word, form, distance in zip(*(x.tolist() for x in trie.search(words, limit, block))):
+                if trie.alias[form] == 0:
+                    place = (words[word], trie.names[trie.entry[form]])
+                    got[place] = min(distance, got.get(place, 9))
+            for word in words:
+                for n in names:
+                    if "--" in n:
+                        continue
+                    d = _distance(word, n)
+                    longest = max(len(word.replace("-", "")), len(n.replace("-", "")))
+                    assert got.get((word, n)) == (d if d <= limit and d <= allowed_distance(longest) else None), (word, n, limit)
+
+
+def test_long_names_and_many_parts():
+    long, parts = "q" * 70 + "-tail", "one-two-three-four-five-six-seven"
+    trie = Trie([(1, long), (2, parts), (3, "a-b-c-d-e")])
+    found = trie.matches([long[1:], long.replace("qq", "qz", 1), "seven.six.five.four.three.two.one", "e-d-c-b-a", "x" * 10_000, ""])
+    assert [[m[0] for m in x] for x in found] == [[1], [1], [2], [3], [], []]
+    assert Trie([]).matches(["abc", ""]) == [[], []]
 
 
 def test_cleaning():
@@ -56,5 +65,8 @@ def test_operator(spark):
     assert got == {r.dep_id: r.pkg_id for r in mapped_names(deps, reference, block=1).collect()}
     near = {(r.dep_id, r.pkg_id, r.distance) for r in name_candidates(deps, reference).collect()}
     assert (0, 1, 0) in near and (4, 2, 2) in near and (6, None, None) in near
+    for block in (1, 2):
+        parts = name_candidates(deps, reference, block=block)
+        assert sorted(map(str, parts.collect())) == sorted(map(str, name_candidates(deps, reference).collect())), block
     assert mapped_names(deps.limit(0), reference).count() == 0
     assert {r.pkg_id for r in mapped_names(deps, reference.limit(0)).collect()} == {-1}
