@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from tidesift.llm.secrets import Dictionary, Finder, corpus_words, credentials, decoded, is_credential_name, redacted_files
@@ -40,6 +43,42 @@ def test_long_lines(filler):
     assert (1, "q9Zr4Tt7Ww2Yy5Uu") in [(x.line, text[x.begin : x.end]) for x in FINDER.find(text, ".py")]
 
 
+@pytest.mark.parametrize("after", [" " * 200_000, "'" + " " * 100_000 + "] ", " = ( " + "\t" * 100_000, "compare_digest(" * 10_000, "compare_digest(a, 'b" * 10_000, " is" * 50_000, " + x" * 50_000, "='" * 20_001])
+def test_long_lines_after_a_name(after):
+    text = f'token{after}\npassword = "q9Zr4Tt7Ww2Yy5Uu"\n' * 2
+    began = time.perf_counter()
+    found = [text[x.begin : x.end] for x in FINDER.find(text, ".py")]
+    assert time.perf_counter() - began < 2 and found.count("q9Zr4Tt7Ww2Yy5Uu") == 2
+
+
+def test_residual_of_the_cut():
+    words = Dictionary({"hidden": 50, "sampler": 50, "mask": 50, "of": 90})
+    residual = {"hiddensampler": 0, "hiddenqzx": 3, "qzxhiddenrst9": 7, "mask-of-mask": 0, "maskofmask": 2, "of": 0, "oq": 2, "2024": 4, "": 0, "q" * 500: 500}
+    assert {v: words.residual(v) for v in residual} == residual
+    assert 40 <= words.residual("9Q" * 50_000, 40) and FINDER.find('key = "sk-your-api-key-goes-here-please"', ".py") == []
+
+
+def _least(run, cost):
+    """(cost, residual) of the best cut, by trying all."""
+    if not run:
+        return 0.0, 0
+    c, r = _least(run[1:], cost)
+    options = [(c + Dictionary.RESIDUAL, r + 1)]
+    for w, x in cost.items():
+        if len(w) >= 3 and run.startswith(w):
+            c, r = _least(run[len(w) :], cost)
+            options.append((c + x, r))
+    return min(options)
+
+
+def test_cut_against_all_cuts():
+    r = random.Random(3)
+    words = Dictionary({"".join(r.choice("ab") for _ in range(r.randint(3, 6))): r.randint(1, 99) for _ in range(25)})
+    for _ in range(100):
+        run = "".join(r.choice("abc") for _ in range(r.randint(3, 11)))
+        assert words.residual(run) == _least(run, words.cost)[1]
+
+
 def test_parts():
     assert Dictionary({"hidden": 9}).residual("hidden-hidden") == 0 and Dictionary({}).residual("q9Zr4Tt7") == 8
     assert is_credential_name("dbPassword2") and is_credential_name("X-Api-Key") and not is_credential_name("api_token_env") and not is_credential_name("key")

@@ -15,7 +15,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,38 +73,66 @@ _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 # header lines of an armor, as `Version: 1` or `DEK-Info: ...`, between its first line and its body
 _PEM_HEADERS = re.compile(r"(?:(?:\\n|[\s#\"'|>*/,+\\])*[A-Z][A-Za-z0-9-]*:[ \t](?:(?!\\n)[^\n])*)*+")
 _PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|[\s#\"'|>*/,+\\])*")
-_URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{0,30}://[^\s/:@\"'<>{}]*:(?P<v>[^\s/@\"'<>]+)@(?=[\w\[{$.-])", re.I)
+_URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{0,30}://[^\s/:@\"'<>{}]*+:(?P<v>[^\s/@\"'<>]++)@(?=[\w\[{$.-])", re.I)
 _QUERY = re.compile(
-    r"[?&;](?:(?:access|auth|api|id|refresh)[_-]?)?(?:token|key|sig|signature|secret|password|passwd|pwd|apikey|auth)=(?P<v>[^\s&\"'<>#`)\]]+)",
+    r"[?&;](?:(?:access|auth|api|id|refresh)[_-]?)?(?:token|key|sig|signature|secret|password|passwd|pwd|apikey|auth)=(?P<v>[^\s&\"'<>#`)\]]++)",
     re.I,
 )
-_SENT = re.compile(r"\b(?P<how>Bearer|Basic|Token|ApiKey)\s+(?P<v>[^\s\"'`,;)\]}]+)", re.I)
-# only from the start of a word, and never given back, so that long lines are read once
+_SENT = re.compile(r"\b(?P<how>Bearer|Basic|Token|ApiKey)\s++(?P<v>[^\s\"'`,;)\]}]++)", re.I)
+# only from the start of a word, and nothing that was read is given back, so that long lines are read once
 _NAME = r"(?<![\w.-])-{0,2}(?P<n>[^\W\d][\w.-]*+)"
-_STRING = r"(?P<p>[rRbBuUfF]{0,2})(?P<q>\"\"\"|'''|[\"'`])(?P<v>(?:\\.|(?!(?P=q)).)*?)(?P=q)"
+_STRING = r"(?P<p>[rRbBuUfF]{0,2})(?P<q>\"\"\"|'''|[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q)"
 _GIVEN = re.compile(
-    _NAME + r"[\"'`]?\s*\]?\s*(?::\s*\w+\s*=|=>|:=|=(?!=)|:(?!:))\s*(?:\w+\s*\+\s*)?(?P<call>[\w.]*\(\s*)?" + _STRING
+    _NAME + r"[\"'`]?+\s*+\]?+\s*+(?::\s*+\w++\s*+=|=>|:=|=(?!=)|:(?!:))\s*+(?:\w++\s*+\+\s*+)?+(?P<call>[\w.]*+\(\s*+)?+" + _STRING
+)
+_DEFAULT = re.compile(
+    r"(?:environ\.get|getenv|env|\.get|\.pop|config)\(\s*+[\"']" + _NAME + r"[\"']\s*+,\s*+(?:default\s*+=\s*+)?+" + _STRING
+)
+_BARE = re.compile(_NAME + r"[\"'`]?+\s*+(?:=(?!=)|:(?![:/]))\s*+(?P<v>[^\s\"'`(){}\[\]<>][^\s\"'`]*+)")
+_SAID = re.compile(_NAME + r"\s++(?:is|was|ist|es|est|=|:)\s*+[\"'`]?+(?P<v>[^\s\"'`<>(){}]++)")
+_BESIDE = re.compile(_NAME + r"\s++[`\"'](?P<v>[^\s`\"']++)[`\"']")
+_TABLE = re.compile(r"\|\s*+`?+" + _NAME + r"`?+\s*+(?=\|\s*+`?+(?P<v>[^\s|`]++)`?+\s*+\|)")
+_NETRC = re.compile(r"\blogin\s++\S++\s++(?P<n>password)\s++(?P<v>\S++)")
+_OPENED = re.compile(_NAME + r"[\"'`]?+\s*+\]?+\s*+[=:]\s*+(?:\(|\\|[>|][-+]?\d?)?+\s*+$")
+_COMPARED = re.compile(
+    r"(?<![\w.\]\[\"'])(?P<n>[\w.\]\[\"']++)\s*+[!=]=\s*+" + _STRING
+    + r"|compare_digest\(\s*+(?P<n2>[\w.]++)\s*+,\s*+b?+(?P<q2>[\"'])(?P<v2>(?:(?!(?P=q2)).)*+)(?P=q2)"
 )
-_DEFAULT = re.compile(r"(?:environ\.get|getenv|env|\.get|\.pop|config)\(\s*[\"']" + _NAME + r"[\"']\s*,\s*(?:default\s*=\s*)?" + _STRING)
-_BARE = re.compile(_NAME + r"[\"'`]?\s*(?:=(?!=)|:(?![:/]))\s*(?P<v>[^\s\"'`(){}\[\]<>][^\s\"'`]*)")
-_SAID = re.compile(_NAME + r"\s+(?:is|was|ist|es|est|=|:)\s*[\"'`]?(?P<v>[^\s\"'`<>(){}]+)")
-_BESIDE = re.compile(_NAME + r"\s+[`\"'](?P<v>[^\s`\"']+)[`\"']")
-_TABLE = re.compile(r"\|\s*`?" + _NAME + r"`?\s*(?=\|\s*`?(?P<v>[^\s|`]+)`?\s*\|)")
-_NETRC = re.compile(r"\blogin\s+\S+\s+(?P<n>password)\s+(?P<v>\S+)")
-_OPENED = re.compile(_NAME + r"[\"'`]?\s*\]?\s*[=:]\s*(?:\(|\\|[>|][-+]?\d?)?\s*$")
-_COMPARED = re.compile(r"(?<![\w.\]\[\"'])(?P<n>[\w.\]\[\"']++)\s*[!=]=\s*" + _STRING + r"|compare_digest\(\s*(?P<n2>[\w.]+)\s*,\s*b?([\"'])(?P<v2>.*?)\4")
 # a literal in the text, over several lines if its quotes are triple, and what may stand between two that are joined
 _PIECE = re.compile(
     r"(?P<p>[rRbBuUfF]{0,2})(?:(?P<t>\"\"\"|''')(?P<w>(?s:\\.|(?!(?P=t)).)*+)(?P=t)|(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*+)(?P=q))"
 )
 _PLUS = re.compile(r"[ \t]*(?:\\\n[ \t]*)?\+[ \t]*(?:\\?[ \t]*\n[ \t]*)?|[ \t]*\\\n[ \t]*")
 _BREAK = re.compile(r"(?:\s|#[^\n]*\n)*+(?:\+(?:\s|#[^\n]*\n)*+)?")
-_HINT = re.compile(
-    r"passw|passp|passc|pass\b[\"'\]]{0,2}\s*[=:|`]|[_-]pass\b|\bpw\b|pwd|kennwort|losung|clave|contrase|senha|motdepasse|mdp|"
-    r"hasl[oł]|wachtwoord|пароль|secret|token|credential|bearer|basic |apikey|cl[eé]_|schl|llave|chave|klucz|"
-    r"auth(?:orization)?[\"'\]]{0,2}\s*[=:|`]|key[\"'\]]{0,2}\s*(?:[=:|`]\s*(?!lambda)|is\b|$)|api[_-]|://[^\s/]*:[^\s/]*@|[?&](?:key|sig|auth)|private key|[!=]=\s*b?[\"']|"
-    r"compare_digest|akia|asia|gh[pousr]_|glpat-|sk-|hf_|xox|_live_|_test_|aiza|eyj|npm_|pypi-"
-)
+# what a line with a credential holds, in lower case; some only with what stands around it
+_HINTS = {
+    **dict.fromkeys(
+        "passw passp passc pwd kennwort losung clave contrase senha motdepasse mdp haslo hasło wachtwoord пароль secret token "
+        "credential bearer apikey cle_ clé_ schl llave chave klucz api_ api- ?key &key ?sig &sig ?auth &auth compare_digest akia "
+        "asia ghp_ gho_ ghu_ ghs_ ghr_ glpat- sk- hf_ xox _live_ _test_ aiza eyj npm_ pypi-".split()
+    ),
+    "basic ": None,
+    "private key": None,
+    "pass": r"pass\b[\"'\]]{0,2}\s*+[=:|`]|(?<=[_-])pass\b",
+    "pw": r"\bpw\b",
+    "auth": r"auth(?:orization)?[\"'\]]{0,2}\s*+[=:|`]",
+    "key": r"key[\"'\]]{0,2}\s*+(?:[=:|`]\s*+(?!lambda)|is\b|$)",
+    "://": r"://[^\s/:]*+:[^\s/@]*+@",
+    "==": r"==\s*+b?+[\"']",
+    "!=": r"!=\s*+b?+[\"']",
+}
+
+
+@lru_cache(maxsize=1)
+def _hints() -> ahocorasick.Automaton:
+    """The hints as one automaton, each with its length and what must stand around it."""
+    found = ahocorasick.Automaton()
+    for word, around in _HINTS.items():
+        found.add_word(word, (len(word), around and re.compile(around)))
+    found.make_automaton()
+    return found
+
+
 # fixed values: forms of digests and identifiers
 _DIGEST = re.compile(r"(?i)(?:sha\d+[:-]|md5[:-])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|\{?[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\}?")
 _REFERENCE = re.compile(
@@ -135,8 +165,7 @@ def corpus_words(files: DataFrame) -> DataFrame:
             for content, suffixes in zip(batch.column(0), batch.column(1).to_pylist()):
                 text = finder.without_candidates(decode_text(content.as_py()), suffixes)
                 count.update(set(_WORDS.findall(text.lower())))
-            kept = [(w, n) for w, n in count.items() if len(w) <= 24]
-            words, ns = zip(*kept) if kept else ((), ())
+            words, ns = zip(*count.items()) if count else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["word", "n"])
 
     texts = different_texts(files).select("content", "suffixes")
@@ -148,32 +177,44 @@ class Dictionary:
 
     #: What a character costs that no word explains, in nats
     RESIDUAL = 3.2
+    #: Inside a run of letters a word has so many letters at least: shorter ones are found in any letters
+    SHORTEST = 3
 
     def __init__(self, counts: dict[str, int]):
         total = max(1, sum(counts.values())) + len(PLACEHOLDER_WORDS)
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         for w in PLACEHOLDER_WORDS:
             self.cost[w] = min(self.cost.get(w, 99.0), math.log(total) if total < 1000 else 7.0)
-        self.longest = max(map(len, self.cost), default=1)
+        self.lengths = sorted({len(w) for w in self.cost if len(w) >= self.SHORTEST})
 
-    def residual(self, literal: str) -> int:
-        """How many letters and digits the words leave unexplained: digits, and runs of letters whose most probable cut
-        isn't made of words alone."""
+    def residual(self, literal: str, enough: int | None = None) -> int:
+        """How many letters and digits the most probable cut of a literal into words leaves unexplained; words are made of
+        letters, so each run of letters is cut by itself. Counting may end at enough."""
         text = literal.lower()
-        return sum(c.isdigit() for c in text) + sum(len(run) for run in _LETTERS.findall(text) if not self._explained(run))
+        total = sum(map(str.isdigit, text))
+        for run in _LETTERS.findall(text):
+            if enough is not None and total >= enough:
+                break
+            total += self._unexplained(run)
+        return total
 
-    def _explained(self, run: str) -> bool:
+    def _unexplained(self, run: str) -> int:
         """Viterbi over a run of letters: a step is a word of the dictionary or one letter that none explains."""
         n = len(run)
-        best: list[tuple[float, bool]] = [(0.0, True)] + [(math.inf, False)] * n
+        if n < self.SHORTEST:
+            return 0 if run in self.cost else n
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
         for i in range(n):
-            cost, words = best[i]
+            cost, rest = best[i]
             if cost + self.RESIDUAL < best[i + 1][0]:
-                best[i + 1] = (cost + self.RESIDUAL, False)
-            for j in range(i + 2, min(n, i + self.longest) + 1):
+                best[i + 1] = (cost + self.RESIDUAL, rest + 1)
+            for size in self.lengths:
+                j = i + size
+                if j > n:
+                    break
                 w = self.cost.get(run[i:j])
                 if w is not None and cost + w < best[j][0]:
-                    best[j] = (cost + w, words)
+                    best[j] = (cost + w, rest)
         return best[n][1]
 
 
@@ -183,7 +224,7 @@ class Unexplained(Dictionary):
     def __init__(self) -> None:
         super().__init__({})
 
-    def residual(self, literal: str) -> int:
+    def residual(self, literal: str, enough: int | None = None) -> int:
         return len(literal)
 
 
@@ -217,8 +258,9 @@ class Found:
 class Finder:
     """Finds the secrets of a text."""
 
-    #: residual of a value in a place for credentials, and of one that is only compared with
-    NAMED, COMPARED = 4, 16
+    #: residual of a value in a place for credentials, of one that is only compared with, of a token in a form that issuers
+    #: publish, and of a private key
+    NAMED, COMPARED, ISSUED, KEY = 4, 16, 8, 40
 
     def __init__(self, dictionary: Dictionary):
         self.dictionary = dictionary
@@ -229,9 +271,7 @@ class Finder:
             return False
         if not named and _DIGEST.fullmatch(value):
             return False
-        if ISSUED.fullmatch(value):
-            return True
-        return self.dictionary.residual(value) >= least
+        return self.dictionary.residual(value, least) >= least
 
     def find(self, text: str, suffix: str) -> list[Found]:
         """In order: line (from 1), begin and end of the value in the text, and the kind of place."""
@@ -269,11 +309,12 @@ class Finder:
         done = -1
         if len(lower) != len(text):  # a letter whose lower case is longer
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        for hint in _HINT.finditer(lower):
-            if hint.start() < done:
+        for last, (size, around) in _hints().iter(lower):
+            start = last + 1 - size
+            if start < done or around and not around.match(lower, start):
                 continue
-            begin = text.rfind("\n", 0, hint.start()) + 1
-            end = text.find("\n", hint.start())
+            begin = text.rfind("\n", 0, start) + 1
+            end = text.find("\n", start)
             end = len(text) if end < 0 else end
             done = end
             yield from self._in_line(text, begin, end, suffix)
@@ -282,11 +323,13 @@ class Finder:
         line = text[begin:end]
         if m := _PRIVATE.search(line):
             body = _PEM_BODY.match(text, _PEM_HEADERS.match(text, begin + m.end()).end())
-            if len(re.sub(r"[^A-Za-z0-9+/]", "", body[0].replace("\\n", ""))) >= 40:
+            if self.dictionary.residual(re.sub(r"[^A-Za-z0-9+/]", "", body[0].replace("\\n", "")), self.KEY) >= self.KEY:
                 last = _PRIVATE_END.match(text, body.end())
                 yield begin + m.start(), last.end() if last else body.start() + len(body[0].rstrip(" \t\n\"'#|>*,\\")), "private key"
                 return
         for m in ISSUED.finditer(line):
+            if self.dictionary.residual(m[0], self.ISSUED) < self.ISSUED:
+                continue
             yield begin + m.start(), begin + m.end(), "issued token"
         for m in _URL_LOGIN.finditer(line):
             if self.is_secret(m["v"], self.NAMED):
