@@ -29,6 +29,43 @@ def test_single_bytes(text, right, wrong):
     assert restore_text(MODEL, text.encode(right).decode(wrong))[0] == text
 
 
+@pytest.mark.parametrize("text", ["Это проверено и новый, а не ошибок", "Проверено: новый щит"])
+@pytest.mark.parametrize("right, wrong", [("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("utf-8", "cp1252")])
+def test_neighbours(text, right, wrong):
+    """Short and unknown words of a stretch are read as those around them; correct ones beside it stay."""
+    garbled = text.encode(right).decode(wrong, "replace").replace("\ufffd", "\x81")
+    before = "die Größe " + "plain text of the corpus and more of it " * 3
+    assert restore_text(MODEL, before + garbled)[0] == before + text
+    assert restore_text(MODEL, text) == (text, 0)
+
+
+@pytest.mark.parametrize("wrong", ["cp932", "gb18030", "euc_jp", "big5", "euc_kr"])
+def test_multibyte_readings_of_utf8(wrong):
+    text = "größe"
+    raw = text.encode()
+    garbled = raw.decode(wrong, "replace")
+    assert restore_text(MODEL, f"die {garbled} the")[1] == 1
+
+
+def test_shift_sequences():
+    japanese = "ノードの処理"
+    assert restore_text(MODEL, f"a {japanese.encode('iso2022_jp').decode('ascii')} b") == (f"a {japanese} b", 1)
+    assert restore_text(MODEL, "die gr+APYA3w-e")[0] == "die größe"
+    for plain in ("+49-1234-5678", "C++11-based", "a+b-c", "\x1b[31mred\x1b[0m", "x+AAAA-", "1+ABCD-2"):
+        assert restore_text(MODEL, plain) == (plain, 0)
+
+
+def test_words_that_one_source_alone_has(spark):
+    """A source that is garbled throughout doesn't vouch for its garbled words, however many texts it has."""
+    words = "плагин загружает файл очень медленно когда маска большая".split()
+    text = lambda i: " ".join(words[i % 3 :] + words[: i % 3] + [f"n{i}"])
+    good = [(i, text(i), f"s{i % 4}") for i in range(200)]
+    bad = [(1000 + i, text(i).encode("cp1251").decode("cp1252"), "hot") for i in range(150)]
+    docs = spark.createDataFrame(good + bad, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.restored for r in garbled_documents(docs).collect()}
+    assert got == {1000 + i: text(i) for i in range(150)}
+
+
 def test_east_asian_and_lost_bytes():
     text = TEXTS[5]
     assert restore_text(MODEL, "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in text.encode("cp932")))[0] == text

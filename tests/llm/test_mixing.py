@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidesift.llm.mixing import TOKENIZER, copies_of, mixing_rates, mixture, shares_reached, token_counts
 
@@ -24,9 +25,11 @@ def test_rates_shares_and_copies(spark):
     report = {r.source: r for r in shares_reached(mixed, rates).collect()}
     assert all(abs(report[s].reached - share / 0.9) < 0.03 for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.1)))
     assert report["none"].used_tokens == 0 and sum(r.reached for r in report.values()) == pytest.approx(1)
-    docs = sizes.withColumnRenamed("n_tokens", "n_copies")
-    copies = copies_of(mixed, docs.drop("n_copies"))
-    assert copies.count() == sum(r.n_copies for r in mixed.collect())
+    docs = sizes.withColumnRenamed("n_tokens", "rate").withColumn("copy_no", F.lit("x")).withColumn("n_copies", F.lit(0))
+    copies = copies_of(docs, rates)
+    assert copies.columns == ["doc_id", "source", "rate", "n_copies", "copy_no"]
+    expected = sorted((r.doc_id, k) for r in mixed.collect() for k in range(1, r.n_copies + 1))
+    assert sorted((r.doc_id, r.copy_no) for r in copies.collect()) == expected
     more = {r.source: r.rate for r in mixing_rates(sizes, weights, total_tokens=1e6).collect()}
     assert more["a"] == 4 and more["b"] == 1 and more["c"] == 1
 

@@ -4,7 +4,7 @@ import pytest
 
 from tidesift.llm.gll import Grammar
 from tidesift.llm.python_grammar import recognise
-from tidesift.llm.unparsable import parse_rates, unparsable_files
+from tidesift.llm.unparsable import judged_sources, parse_rates, unparsable_files
 
 
 def test_ambiguous_and_left_recursive_grammar():
@@ -121,6 +121,6 @@ def test_operator(spark, make_files):
     files = make_files(("a/x", "a.py", "x = (\n"), ("a/x", "b.py", b"x = '\xff'\r\n"), ("a/x", "c.py", ""), ("b/y", "d.py", None), ("b/y", "e.txt", "x = ("), ("b/y", "f.py", "print 'x'\n"), ("b/y", "f.py", "print 'x'\n"), ("b/y", "g.py", "x = [" + "1, " * 60000 + "]"))
     bad = unparsable_files(files)
     assert sorted(r.file_id for r in bad.collect()) == [1, 6, 7]
-    rates = {r.target: (r.n_files, r.n_unparsable) for r in parse_rates(files, bad).collect()}
+    rates = {r.target: (r.n_files, r.n_unparsable) for r in parse_rates(judged_sources(files)).collect()}
     assert rates == {"a/x": (3, 1), "b/y": (3, 2)}
     assert unparsable_files(files.limit(0)).count() == 0

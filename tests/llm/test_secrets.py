@@ -55,7 +55,7 @@ def test_residual_of_the_cut():
     words = Dictionary({"hidden": 50, "sampler": 50, "mask": 50, "of": 90})
     residual = {"hiddensampler": 0, "hiddenqzx": 3, "qzxhiddenrst9": 7, "mask-of-mask": 0, "maskofmask": 2, "of": 0, "oq": 2, "2024": 4, "": 0, "q" * 500: 500}
     assert {v: words.residual(v) for v in residual} == residual
-    assert 40 <= words.residual("9Q" * 50_000, 40) and FINDER.find('key = "sk-your-api-key-goes-here-please"', ".py") == []
+    assert 40 <= words.residual("9Q" * 50_000, 40) and FINDER.find('key = "sk-your-api-key-here-example-token"', ".py") == []
 
 
 def _least(run, cost):

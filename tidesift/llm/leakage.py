@@ -194,7 +194,7 @@ class Shard:
         self.of.append(self.added)
         self.numbers.append(numbers)
         self.starts.append(self.starts[-1] + len(numbers))
-        self.size += int(known[-1])
+        self.size += len(numbers)
 
     def _runs(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Positions of words that stand in a run of known words of one document, at least as long as a seed."""
@@ -298,7 +298,7 @@ def _in_block(docs: DataFrame, rows: list[tuple[int, str]], rule: Rule, shard_wo
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, rule)
+        items = _items(sent.value, rule)
 
         def result(shard: Shard) -> pa.RecordBatch:
             spans: dict[tuple[int, int, int], set[tuple[int, int]]] = {}
@@ -325,6 +325,16 @@ def _in_block(docs: DataFrame, rows: list[tuple[int, str]], rule: Rule, shard_wo
     return spread(docs).mapInArrow(run, "doc_id bigint, item_id bigint, begin int, end int")
 
 
+#: The phrases that a Python worker holds, and what they were made of
+_held: list = [None, None]
+
+
+def _items(rows: list[tuple[int, str]], rule: Rule) -> Items:
+    if _held[0] is None or _held[0][0] is not rows or _held[0][1] != rule:
+        _held[:] = (rows, rule), Items(rows, rule)
+    return _held[1]
+
+
 def _offsets(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 

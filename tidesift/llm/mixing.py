@@ -8,12 +8,14 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.session import ship_package, small_side, spread
 
-#: A vocabulary file of a public tokenizer, by default where the machine keeps them; executors read it there.
+#: A vocabulary file of a public tokenizer, by default where the machine keeps them. The driver reads it; it is sent to the
+#: executors with the job.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed values: how texts are cut before byte pairs are merged
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,9 +32,11 @@ def _encoding(path: str):
 def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, source and n_tokens of each document; 0 for null and empty texts."""
     ship_package(docs.sparkSession)
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = Path(tokenizer).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(SparkFiles.get(name))
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -77,28 +81,31 @@ def mixing_rates(sizes: DataFrame, weights: DataFrame, total_tokens: float | Non
     )
 
 
+def _used(docs: DataFrame, rates: DataFrame, seed: int) -> tuple[DataFrame, Column]:
+    """The documents of the sources that are used, with their rate, and how often each is used."""
+    used = docs.join(small_side(rates.where("rate > 0").select("source", F.col("rate").alias("_rate"))), "source")
+    whole = F.floor("_rate")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return used, (whole + F.when(drawn < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
+
+
 def mixture(sizes: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, n_tokens and n_copies (at least 1) of the documents that are used.
 
     A document is used floor(rate) times, and once more where the hash of its id and the seed falls below the fraction:
     the same choice on every run and in every partition, never more than max_repeats.
     """
-    rates = rates.where("rate > 0").select("source", "rate")
-    whole = F.floor("rate")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    copies = (whole + F.when(drawn < F.col("rate") - whole, 1).otherwise(0)).cast("int")
-    return (
-        sizes.join(small_side(rates), "source")
-        .select("doc_id", "source", "n_tokens", copies.alias("n_copies"))
-        .where("n_copies > 0")
-    )
+    used, copies = _used(sizes, rates, seed)
+    return used.select("doc_id", "source", "n_tokens", copies.alias("n_copies")).where("n_copies > 0")
 
 
-def copies_of(mixed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The mixture written out: one row per use of a document, with copy_no from 1 beside the document's columns."""
-    return docs.join(mixed.select("doc_id", "n_copies"), "doc_id").select(
-        "*", F.explode(F.sequence(F.lit(1), "n_copies")).alias("copy_no")
-    ).drop("n_copies")
+def copies_of(docs: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
+    """The mixture written out: one row per use of a document, with copy_no from 1 after the document's columns (in place of
+    a column of that name). How often a document is used follows from its id and source alone, so no text is moved."""
+    used, copies = _used(docs, rates, seed)
+    columns = [c for c in docs.columns if c != "copy_no"]
+    none = F.array().cast("array<int>")
+    return used.select(*columns, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(none)).alias("copy_no"))
 
 
 def shares_reached(mixed: DataFrame, rates: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tidesift.llm.mixing import copies_of, mixing_rates, mixture, shares_reached
 from tidesift.llm.names import mapped_names, name_candidates
 from tidesift.llm.origin import file_layout, foreign_files, judged_files
 from tidesift.llm.secrets import credentials, redacted_files
-from tidesift.llm.unparsable import parse_rates, unparsable_files
+from tidesift.llm.unparsable import judged_sources, parse_rates, unparsable_files
 from tidesift.session import shared_path, table
 
 
@@ -49,8 +49,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "plugin_files")
-    return parse_rates(files, unparsable_files(files))
+    return parse_rates(judged_sources(table(spark, sf_dir, "plugin_files")))
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +68,16 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and of a size that is known."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _mixing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    # sizes are used for the rates and for the mixture; as a table they are computed once
-    path = shared_path(spark, "token-counts")
-    token_counts(table(spark, sf_dir, "documents")).write.parquet(path)
-    sizes = spark.read.parquet(path)
-    return sizes, mixing_rates(sizes, table(spark, sf_dir, "source_weights"))
+    sizes = _stored(token_counts(table(spark, sf_dir, "documents")), "token-counts")
+    return sizes, _stored(mixing_rates(sizes, table(spark, sf_dir, "source_weights")), "rates")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +91,8 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes, rates = _mixing(spark, sf_dir)
-    return copies_of(mixture(sizes, rates), table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no", "text")
+    _, rates = _mixing(spark, sf_dir)
+    return copies_of(table(spark, sf_dir, "documents"), rates).select("doc_id", "source", "copy_no", "text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,39 +17,42 @@ def _parses(text: str) -> bool:
         warnings.simplefilter("ignore")
         try:
             ast.parse(text)
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             return False
-        except (RecursionError, MemoryError):
-            return True
     return True
 
 
-def unparsable_files(files: DataFrame, confirm: bool = True) -> DataFrame:
-    """One row per `.py` file whose text is in none of the dialects: file_id, line_no (where it fails within a line, else
-    null) and stage.
+def judged_sources(files: DataFrame, confirm: bool = False) -> DataFrame:
+    """One row per `.py` file: file_id, target, suffix, valid (whether its text is in one of the dialects), line_no (where it
+    fails within a line, else null) and stage.
 
-    Each text is read by generalised LL with a shared stack, for Python 3.10 to 3.13 together. confirm: leave out a
-    rejected file that the parser of the running Python takes. An empty file is valid; null content gives no row, as
+    Each text is read by generalised LL with a shared stack, for Python 3.10 to 3.13 together. confirm: a rejected file
+    that the parser of the running Python takes counts as valid. An empty file is valid; null content gives no row, as
     there is no text to judge; files delivered twice are judged each.
     """
 
-    def one(key: int, text: str) -> Iterator[tuple]:
+    def one(key: int, text: str, target: str | None, suffix: str) -> Iterator[tuple]:
         from tidesift.llm.python_grammar import recognise
 
         verdict = recognise(text)
-        if not verdict.dialects and not (confirm and _parses(text)):
-            yield key, verdict.line, verdict.stage
+        valid = bool(verdict.dialects) or confirm and _parses(text)
+        yield key, target, suffix, valid, *((None, None) if valid else (verdict.line, verdict.stage))
 
-    return map_files(files, (".py",), one, "file_id bigint, line_no int, stage string")
+    schema = "file_id bigint,target string,suffix string,valid boolean,line_no int,stage string"
+    return map_files(files, (".py",), one, schema, ("target", "suffix"))
 
 
-def parse_rates(files: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Rates of unparsable files per target and suffix: n_files, n_unparsable and rate. Targets without such files have
-    rate 0; files without a target form a group of their own."""
-    judged = files.where((F.col("suffix") == ".py") & F.col("content").isNotNull()).select("file_id", "target", "suffix")
-    marked = judged.join(flagged.select("file_id", F.lit(1).alias("bad")), "file_id", "left")
+def unparsable_files(files: DataFrame, confirm: bool = False) -> DataFrame:
+    """One row per `.py` file whose text is in none of the dialects: file_id, line_no and stage. See judged_sources."""
+    return judged_sources(files, confirm).where("not valid").select("file_id", "line_no", "stage")
+
+
+def parse_rates(judged: DataFrame) -> DataFrame:
+    """Rates of unparsable files per target and suffix, from rows of judged_sources: n_files, n_unparsable and rate, counted
+    before anything is shuffled. Targets without such files have rate 0; files without a target form a group of their
+    own."""
     return (
-        marked.groupBy("target", "suffix")
-        .agg(F.count("*").alias("n_files"), F.count("bad").alias("n_unparsable"))
+        judged.groupBy("target", "suffix")
+        .agg(F.count("*").alias("n_files"), F.count(F.when(~F.col("valid"), 1)).alias("n_unparsable"))
         .withColumn("rate", F.col("n_unparsable") / F.col("n_files"))
     )
