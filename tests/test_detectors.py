@@ -1,8 +1,10 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidesift.operators import literal
 from tidesift.operators.deps import advisory_findings, manifest_counts, manifest_lines, name_findings, near_names, parsed_dependencies
 from tidesift.operators.digest import digest_findings, digest_groups
 from tidesift.operators.literal import literal_findings, literal_hits
@@ -32,6 +34,15 @@ def test_decoding():
     assert decode_text("﻿é".encode()) == "﻿é"
 
 
+def test_decoding_as_an_expression(spark, make_files):
+    r = random.Random(6)
+    pieces = [b"a", b"\r", b"\n", b"\r\n", "é".encode(), "→".encode(), "😀".encode(), "\ufffd".encode(), b"\xff", b"\xe9", b"\xe2\x86", b"\xf0\x9f", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\x80", b"\0"]
+    contents = [b"", *("".join(map(chr, range(1, 128))).encode(),), *(bytes(r.randrange(256) for _ in range(60)) for _ in range(100))]
+    contents += [b"".join(r.choice(pieces) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    texts = with_text(make_files(*[("a/x", f"{i}.py", c) for i, c in enumerate(contents)]).repartition(2))
+    assert {x.rel_path: x.text for x in texts.collect()} == {f"{i}.py": decode_text(c) for i, c in enumerate(contents)}
+
+
 def test_urls(spark, make_files):
     text = "see HTTPS://Bad.example/x/ and\nhttps://bad.example/x\nwss://ok.example, 'http://q.example/'\n"
     files = with_text(make_files(("a/x", "b.py", text), ("a/x", "a.md", "https://bad.example/x"), ("a/x", "c.png", text), ("b/y", "n.txt", None)))
@@ -43,6 +54,40 @@ def test_urls(spark, make_files):
     assert found == {("https://bad.example/x", "a.md", 1, "high"), ("HTTPS://Bad.example/x/", "b.py", 1, "high")}
 
 
+def test_near_names_against_all_pairs(spark):
+    def distance(a, b):
+        rows = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, rows[0] = rows[0], i
+            for j, y in enumerate(b, 1):
+                last, rows[j] = rows[j], min(rows[j] + 1, rows[j - 1] + 1, last + (x != y))
+        return rows[-1]
+
+    r = random.Random(9)
+    word = lambda a, b: "".join(r.choice("abé-") for _ in range(r.randint(a, b))).strip("-") or "abab"
+    known, typed = {word(1, 8) for _ in range(40)}, {word(3, 9) for _ in range(150)} | {"x" * 5000, "", "abc"}
+    known = {"-".join(x for x in k.split("-") if x) for k in known} - {""}
+    expected = {}
+    for t in typed - known:
+        near = min(((distance(t, k), k) for k in known if len(t) >= 4 and abs(len(t) - len(k)) <= 2), default=(9, ""))
+        if near[0] <= 2:
+            expected[t] = (near[1], near[0])
+    names = spark.createDataFrame([(t,) for t in sorted(typed)] * 2 + [(None,)], "name string")
+    got = near_names(names, spark.createDataFrame([(k,) for k in sorted(known)], "name string")).collect()
+    assert {x.name: (x.near, x.distance) for x in got} == expected and len(got) == len(expected) > 20
+    assert near_names(names, names.limit(0)).count() == 0
+
+
+def test_many_patterns_and_a_stop(spark, make_files, monkeypatch):
+    monkeypatch.setattr(literal, "BLOCK_PATTERNS", 70)
+    texts = with_text(make_files(("a/x", "b.py", "one p7 two\np150 p1"), ("a/x", "c.py", "p199")))
+    patterns = _patterns(spark, *[f"p{i}" for i in range(200)])
+    hits = literal_hits(texts, patterns, "file_id").collect()
+    assert sorted((x.file_id, x.line, x.pattern) for x in hits) == [(1, 1, "p7"), (1, 2, "p1"), (1, 2, "p15"), (1, 2, "p150"), (2, 1, "p1"), (2, 1, "p19"), (2, 1, "p199")]
+    found = literal_findings(texts, patterns, max_characters=12).collect()
+    assert sorted((x.file, x.line, x.target) for x in found) == [("b.py", 1, "a/x"), ("c.py", 1, "a/x"), ("c.py", 1, "a/x"), ("c.py", 1, "a/x")]
+
+
 def _patterns(spark, *names):
     rows = [(p, f"c{i}", "odd" if i == 0 else "high", None, i) for i, p in enumerate(names)]
     return spark.createDataFrame([*rows, (names[0], "later", "low", "CWE-1", 99), ("", "none", "low", None, 100)], PATTERN_SCHEMA)

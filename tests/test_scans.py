@@ -39,9 +39,11 @@ def test_scan_all_targets(spark, make_files, signatures):
     assert {r.label for r in scan(files, signatures, []).verdicts.collect()} == {"clean"}
     own = {"L0": lambda x: DETECTORS["L0"](x).limit(0)}
     assert scan(files, signatures, ["L0"], own).findings.count() == 0
-    text = "\n".join(render.markdown(done.findings, done.verdicts, "o/loader"))
-    assert "**Verdict:** 🔴 `malicious`" in text and "**CWE:** CWE-95" in text
-    report = json.loads("".join(render.json_report(done.findings, done.verdicts, "o/typo")))
+    text = "\n".join(render.markdown(done.findings, done.verdicts, "o/loader", done.seconds))
+    assert text.startswith("# o/loader: malicious\n") and "critical, code_execution, CWE-95" in text and "don't install it" in text and "(L0 " in text
+    report = json.loads("".join(render.json_report(done.findings, done.verdicts, "o/typo", done.started_at, done.seconds)))
+    assert set(report["scan"]["layer_duration_ms"]) == {"L0", "L1", "L2", "L3", "L4", "L5"} and report["scan"]["duration_ms"] > 0
+    assert report["scan"]["started_at"].startswith("20")
     assert report["verdict"]["label"] == "malicious" and report["findings"][0]["category"] == "typosquatting"
     lines = render.report_lines(done.findings, done.verdicts).collect()
     assert sum(r.part == 0 for r in lines) == 5 and all(json.loads(r.json) for r in lines)
@@ -74,12 +76,16 @@ def test_command_line(spark, tmp_path, capfd, monkeypatch):
         (tmp_path / "all" / name).mkdir(parents=True)
         (tmp_path / "all" / name / "__init__.py").write_text(text)
     assert cli.main(["scan", str(tmp_path / "all" / "good")]) == 0
-    assert "`clean`" in capfd.readouterr().out
+    assert "# good: clean" in capfd.readouterr().out
     assert cli.main(["scan", str(tmp_path / "all" / "bad"), "--format", "json", "--layers", "L3"]) == 2
     assert json.loads(capfd.readouterr().out)["verdict"]["label"] == "malicious"
     assert cli.main(["scan", str(tmp_path / "all"), "--batch", "--fail-on", "none"]) == 0
     out = capfd.readouterr().out
-    assert "| `good` | clean |" in out and "Worst verdict: **malicious**" in out
+    assert "| good | clean |" in out and "The worst of these is malicious." in out
+    (tmp_path / "settings.toml").write_text('[scanner]\nfail_on = "none"\n')
+    assert cli.main(["scan", str(tmp_path / "all" / "bad"), "--config", str(tmp_path / "settings.toml")]) == 0
+    assert cli.main(["scan", str(tmp_path / "all" / "bad"), "--config", str(tmp_path / "settings.toml"), "--fail-on", "malicious"]) == 2
+    capfd.readouterr()
     assert cli.main(["scan", str(tmp_path / "missing")]) == 3
     flow = tmp_path / "w.json"
     flow.write_text(json.dumps(UI))
@@ -87,3 +93,31 @@ def test_command_line(spark, tmp_path, capfd, monkeypatch):
     flow.write_text("{")
     assert cli.main(["scan-workflow", str(flow)]) == 3
     assert cli.main(["doctor"]) == 0 and "patterns: 0" in capfd.readouterr().out
+
+
+def test_advisories(spark, make_files, tmp_path):
+    lines = [
+        {"name": "Foo_Lib", "version": "1.2", "advisory_id": "A-1", "severity": "MODERATE", "summary": "s"},
+        {"name": "foo-lib", "version": None, "advisory_id": "A-2", "has_score": True},
+        {"name": "bar", "version": "9", "advisory_id": "A-3", "severity": "low"},
+        {"name": None, "advisory_id": "A-4"},
+    ]
+    (tmp_path / "advisories.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n{broken\n")
+    known = load_signatures(spark, str(tmp_path))
+    files = make_files(("o/a", "requirements.txt", "foo.lib==1.2\nbar==8\nfoo.lib==1.2\n"), ("o/b", "x/requirements.txt", "foo-lib>=1\n"), ("o/c", "a.py", "x = 1\n"))
+    found = scan(files, known, ["L4"]).findings
+    assert sorted((r.target, r.severity, r.snippet, r.references[0][-3:]) for r in found.collect()) == [
+        ("o/a", "high", "foo-lib==1.2", "A-2"), ("o/a", "medium", "foo-lib==1.2", "A-1"), ("o/b", "high", "foo-lib", "A-2"),
+    ]
+
+
+def test_scratch_tables_are_dropped(spark, make_files, signatures):
+    import os
+
+    from tidesift.session import _scratch, drop_scratch
+
+    assert scan(make_files(("o/a", "a.py", LOADER)), signatures, ["L3"]).verdicts.count() == 1
+    paths = [p.removeprefix("file://") for p in _scratch]
+    assert paths and any(map(os.path.exists, paths))
+    drop_scratch(spark)
+    assert not any(map(os.path.exists, paths)) and not _scratch

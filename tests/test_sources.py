@@ -87,3 +87,17 @@ def test_png(spark, make_files):
     rows = embedded_workflows(make_files(("a", "x.png", full), ("a", "y.PNG", png(chunk(b"tEXt", b"k\0v"))), ("a", "z.png", b"no"), ("a", "n.png", None))).collect()
     got = {r.rel_path: (r.body, r.reason) for r in rows}
     assert got == {"x.png": ('{"b": 2}', None), "y.PNG": (None, "no workflow"), "z.png": (None, "not a png"), "n.png": (None, "not a png")}
+
+
+def test_png_that_inflates_too_far(spark, make_files, monkeypatch):
+    from tidesift.sources import png
+
+    monkeypatch.setattr(png, "MAX_INFLATED", 1000)
+    data = b"workflow\0\0" + zlib.compress(b"x" * 5000)
+    content = png.SIGNATURE + struct.pack(">I", len(data)) + b"zTXt" + data + b"\0\0\0\0"
+    with pytest.raises(png.TooLarge):
+        png_texts(content)
+    monkeypatch.undo()
+    data = b"workflow\0\0" + zlib.compress(b"x" * (png.MAX_INFLATED + 1))
+    content = png.SIGNATURE + struct.pack(">I", len(data)) + b"zTXt" + data + b"\0\0\0\0"
+    assert [(r.body, r.reason) for r in embedded_workflows(make_files(("a/x", "w.png", content))).collect()] == [(None, "too large")]

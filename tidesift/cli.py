@@ -32,6 +32,7 @@ def _scan(a: argparse.Namespace) -> int:
         return 3
     config = load_config(a.config)
     layers = selected_layers(a.layers if a.layers is not None else config.default_layers)
+    fail_on = a.fail_on or config.fail_on
     spark = _session()
     files = read_tree(spark, a.target, a.batch)
     done = scan(files, load_signatures(spark, a.signatures), layers)
@@ -47,16 +48,16 @@ def _scan(a: argparse.Namespace) -> int:
             else render.batch_markdown(judged, worst.worst)
         )
         render.emit(lines)
-        return _exit(spark, worst.worst, a.fail_on)
+        return _exit(spark, worst.worst, fail_on)
     row = judged.first()
     if row is None:  # an empty folder is clean
         print("**Verdict:** `clean`, no files")
         return 0
     if a.format == "json":
-        render.emit(render.json_report(done.findings, judged, row.target), "")
+        render.emit(render.json_report(done.findings, judged, row.target, done.started_at, done.seconds), "")
     else:
-        render.emit(render.markdown(done.findings, judged, row.target))
-    return _exit(spark, row.label, a.fail_on)
+        render.emit(render.markdown(done.findings, judged, row.target, done.seconds))
+    return _exit(spark, row.label, fail_on)
 
 
 def _scan_workflow(a: argparse.Namespace) -> int:
@@ -79,16 +80,16 @@ def _scan_workflow(a: argparse.Namespace) -> int:
         print(f"not a workflow: {a.target}", file=sys.stderr)
         return 3
     if a.format == "json":
-        render.emit(render.json_report(done.findings, done.verdicts, row.target), "")
+        render.emit(render.json_report(done.findings, done.verdicts, row.target, done.started_at), "")
     else:
         render.emit(render.markdown(done.findings, done.verdicts, row.target))
-    return _exit(spark, row.label, a.fail_on)
+    return _exit(spark, row.label, a.fail_on or load_config(a.config).fail_on)
 
 
 def _doctor(a: argparse.Namespace) -> int:
     known = load_signatures(_session(), a.signatures)
-    for name in ("digests", "urls", "names", "patterns"):
-        print(f"{name}: {getattr(known, name).count()}")
+    for name in ("digests", "urls", "names", "patterns", "advisories"):
+        print(f"{name}: {0 if (rows := getattr(known, name)) is None else rows.count()}")
     return 0
 
 
@@ -103,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
         if name != "doctor":
             p.add_argument("target")
             p.add_argument("--format", choices=("json", "markdown"), default="markdown")
-            p.add_argument("--fail-on", choices=sorted(FAIL_ON), default="suspicious")
+            p.add_argument("--fail-on", choices=sorted(FAIL_ON), help="the least verdict that isn't 0; by default what the settings say")
             p.add_argument("--config")
         if name == "scan":
             p.add_argument("--layers", help="comma list, such as L0,L1")

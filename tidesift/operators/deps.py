@@ -15,7 +15,7 @@ from tidesift.session import ship_package, small_side
 NEAREST, SHORTEST = 2, 4
 
 
-def _name(texts: DataFrame) -> Column:
+def _name() -> Column:
     return F.lower(F.element_at(F.split("rel_path", "/"), -1))
 
 
@@ -41,14 +41,14 @@ def _toml_dependencies(texts: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["target", "source_file", "entry"])
 
-    manifests = texts.where((_name(texts) == "pyproject.toml") & F.col("text").isNotNull())
+    manifests = texts.where((_name() == "pyproject.toml") & F.col("text").isNotNull())
     return manifests.select("target", "rel_path", "text").mapInArrow(run, "target string, source_file string, entry string")
 
 
 def manifest_lines(texts: DataFrame) -> DataFrame:
     """target, source_file, line (0 for pyproject.toml), entry and strict (from a file named exactly requirements.txt, or
     pyproject.toml) of everything that manifests declare. Comments, blank lines and options are left out."""
-    name = _name(texts)
+    name = _name()
     lists = texts.where((name == "requirements.txt") | name.endswith(".requirements.txt"))
     lines = lists.select(
         "target", F.col("rel_path").alias("source_file"), (name == "requirements.txt").alias("strict"), F.posexplode(lines_of(F.col("text")))
@@ -83,22 +83,39 @@ def manifest_counts(lines: DataFrame) -> DataFrame:
     )
 
 
+def _shortened(name: Column) -> Column:
+    """Hashes of a name and of what is left of it without one or NEAREST of its letters."""
+
+    def without(s: Column) -> Column:
+        letters = F.sequence(F.lit(1), F.length(s))
+        return F.when(F.length(s) > 0, F.transform(letters, lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))).otherwise(
+            F.array(s)
+        )
+
+    every = F.array(name)
+    last = every
+    for _ in range(NEAREST):
+        last = F.array_distinct(F.flatten(F.transform(last, without)))
+        every = F.concat(every, last)
+    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
+
+
 def near_names(names: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """name, near and distance: for each different name that isn't known itself and has SHORTEST characters, the nearest
     known name within NEAREST edits, the first by alphabet among equally near ones.
 
-    Names are distinct before they are compared, and compared only with known names of nearly their length: both sides
-    are joined on the length, so no side is compared whole with the other.
+    Names within NEAREST edits have a common form with at most so many letters left out of each. Both sides are joined
+    on these forms, so a name meets only known names that may be near, and no form is common; distances are then
+    computed for each pair once.
     """
     reference = known.select(normal_name(F.col("name")).alias("near")).where("near <> ''").distinct()
-    typed = names.select(F.col(name).alias("_n")).where(F.length("_n") >= SHORTEST).distinct()
+    longest = reference.agg(F.max(F.length("near"))).first()[0] or 0
+    typed = names.select(F.col(name).alias("_n")).where(F.length("_n").between(SHORTEST, longest + NEAREST)).distinct()
     typed = typed.join(small_side(reference), F.col("_n") == F.col("near"), "left_anti")
-    reach = F.sequence(F.length("near") - NEAREST, F.length("near") + NEAREST)
-    by_length = reference.withColumn("_len", F.explode(reach))
-    pairs = typed.withColumn("_len", F.length("_n")).join(small_side(by_length), "_len")
-    distance = F.levenshtein(F.col("_n"), F.col("near"), NEAREST)
+    forms = reference.select("near", F.explode(_shortened(F.col("near"))).alias("_form"))
+    pairs = typed.select("_n", F.explode(_shortened(F.col("_n"))).alias("_form")).join(small_side(forms), "_form").select("_n", "near").distinct()
     return (
-        pairs.withColumn("distance", distance)
+        pairs.withColumn("distance", F.levenshtein(F.col("_n"), F.col("near"), NEAREST))
         .where("distance > 0")
         .groupBy(F.col("_n").alias(name))
         .agg(F.min(F.struct("distance", "near")).alias("_m"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from tidesift.functions.text import cut_within, stripped
 from tidesift.schema import as_findings, known_severity
-from tidesift.session import ship_package
+from tidesift.session import ship_package, small_side
 
-#: How many patterns a join by substring is used for
+#: How many patterns a join by substring is used for. Both ways give the same rows.
 SUBSTRING_PATTERNS = 64
-#: Patterns are sent to every task; there may be so many at most.
-MOST_PATTERNS = 100_000
+#: So many patterns are sent to a task at a time; more are searched in several passes.
+BLOCK_PATTERNS = 100_000
 
 
 def first_patterns(patterns: DataFrame) -> DataFrame:
@@ -81,33 +82,39 @@ def _search(texts: DataFrame, patterns: tuple[str, ...], key: str) -> DataFrame:
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, line int, line_text string, pattern string")
 
 
-def literal_hits(texts: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
+def literal_hits(texts: DataFrame, patterns: DataFrame, key: str, max_characters: int | None = None) -> DataFrame:
     """key, line, line_text, pattern, category, severity, cwe: every pattern in every line, overlapping ones too, each
-    once a line. Texts are searched to their end, however long they are.
+    once a line. Texts are searched to their end, however long they are; max_characters, if given, is where the search
+    stops in each.
 
-    Few patterns are joined to lines by substring, in the JVM; more are searched with one automaton per task. Either
-    way the texts stay where they are, and the patterns, which are limited in number, are sent to the tasks.
+    Few patterns are joined to lines by substring, in the JVM; more are searched with one automaton per task and block.
+    Either way the texts stay where they are, and only patterns are sent. The key may be a struct of what is to be kept
+    beside the hits.
     """
+    if max_characters is not None:
+        texts = texts.select(key, F.substring("text", 1, max_characters).alias("text"))
     first = first_patterns(patterns)
-    names = tuple(r.pattern for r in first.select("pattern").orderBy("pattern").limit(MOST_PATTERNS + 1).toLocalIterator())
-    if len(names) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
-    if len(names) > SUBSTRING_PATTERNS or any("\n" in n for n in names):
-        return _search(texts, names, key).join(F.broadcast(first), "pattern").select(
-            key, "line", "line_text", "pattern", "category", "severity", "cwe"
-        )
+    names = first.select("pattern").orderBy("pattern").toLocalIterator()
+    blocks = iter(lambda: tuple(r.pattern for r in islice(names, BLOCK_PATTERNS)), ())
+    block = next(blocks, ())
+    if len(block) > SUBSTRING_PATTERNS or any("\n" in n for n in block):
+        found = _search(texts, block, key)
+        for block in blocks:
+            found = found.unionByName(_search(texts, block, key))
+        return found.join(small_side(first), "pattern").select(key, "line", "line_text", "pattern", "category", "severity", "cwe")
     lines = texts.select(key, F.posexplode(F.split("text", "\n", -1)).alias("_i", "line_text"))
     return lines.join(F.broadcast(first), F.col("line_text").contains(F.col("pattern"))).select(
         key, (F.col("_i") + 1).alias("line"), "line_text", "pattern", "category", "severity", "cwe"
     )
 
 
-def literal_findings(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """A finding per file, pattern and line, with the severity of the pattern's category. texts: file_id, target,
-    rel_path and text."""
-    hits = literal_hits(texts, patterns, "file_id").join(texts.select("file_id", "target", "rel_path"), "file_id")
+def literal_findings(texts: DataFrame, patterns: DataFrame, max_characters: int | None = None) -> DataFrame:
+    """A finding per file, pattern and line, with the severity of the pattern's category. texts: target, rel_path and
+    text."""
+    placed = texts.select(F.struct("target", "rel_path").alias("_k"), "text")
+    hits = literal_hits(placed, patterns, "_k", max_characters)
     return as_findings(
-        hits,
+        hits.select("_k.target", "_k.rel_path", *hits.columns[1:]),
         "L2",
         "pat",
         severity=F.col("severity"),

@@ -72,10 +72,10 @@ def parse_workflows(df: DataFrame, key: str = "workflow_id", body: str = "body")
     """key, the body as a map of variants and its form (`ui`, `prompt`), for each body that as a whole is valid JSON and
     a workflow: a root array `nodes`, or a non-empty map of objects that each have class_type. Others give no row.
 
-    A repeated key inside an object counts with its last value. Objects nested over 1000 levels aren't parsed.
+    A repeated key inside an object counts with its last value. Objects nested over 1000 levels aren't parsed. Sets
+    spark.sql.variant.allowDuplicateKeys in the session, without which such bodies would be no JSON.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # the parser ignores what follows the first value, so the body is followed by a mark which it must still reach
     mark = F.md5(F.col("_body"))
     held = F.try_parse_json(F.concat(F.lit("["), F.col("_body"), F.lit(',"'), mark, F.lit('"]')))

@@ -9,6 +9,7 @@ from tidesift.operators.deps import manifest_counts
 from tidesift.operators.syntax import COUNTED_DECODERS, DESERIALISERS, IMPORTS, NETWORK, SHELL
 from tidesift.schema import as_findings
 
+# fixed values: the columns of counters, by the names that reports use
 COUNTERS = (
     "eval_calls", "exec_calls", "compile_calls", "import_dunder_calls", "shell_calls", "deserialization_calls",
     "decoder_calls", "network_calls", "shell_true_count", "exec_with_decoder_count", "dynamic_getattr_count",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidesift.functions.text import LONG_BASE64, LONG_HEX, ODD_IDENTIFIER, cut_within
 from tidesift.schema import as_findings
-from tidesift.session import ship_package
+from tidesift.session import ship_package, spread
 
 # fixed values: calls of builtins -> category, severity, cwe
 BUILTIN_CALLS = {
@@ -31,10 +31,27 @@ BUILTIN_CALLS = {
 }
 # fixed values: qualified calls by kind
 SHELL = (
-    "subprocess.run subprocess.Popen subprocess.call subprocess.check_call subprocess.check_output subprocess.getoutput "
-    "os.system os.popen os.execv os.execvp os.execve os.spawnv pty.spawn"
-).split()
-DESERIALISERS = "pickle.loads pickle.load cloudpickle.loads dill.loads marshal.loads".split()
+    "subprocess.run",
+    "subprocess.Popen",
+    "subprocess.call",
+    "subprocess.check_call",
+    "subprocess.check_output",
+    "subprocess.getoutput",
+    "os.system",
+    "os.popen",
+    "os.execv",
+    "os.execvp",
+    "os.execve",
+    "os.spawnv",
+    "pty.spawn",
+)
+DESERIALISERS = (
+    "pickle.loads",
+    "pickle.load",
+    "cloudpickle.loads",
+    "dill.loads",
+    "marshal.loads",
+)
 DECODERS = {
     "base64.b64decode": "medium",
     "base64.decodebytes": "medium",
@@ -46,22 +63,53 @@ DECODERS = {
 LOADING_DECODERS = {*DECODERS, "binascii.a2b_hex", "bytes.fromhex"}
 COUNTED_DECODERS = {*DECODERS, "binascii.a2b_hex"}
 NETWORK = (
-    "requests.get requests.post requests.put requests.patch requests.delete urllib.request.urlopen "
-    "urllib.request.urlretrieve socket.socket http.client.HTTPSConnection http.client.HTTPConnection"
-).split()
+    "requests.get",
+    "requests.post",
+    "requests.put",
+    "requests.patch",
+    "requests.delete",
+    "urllib.request.urlopen",
+    "urllib.request.urlretrieve",
+    "socket.socket",
+    "http.client.HTTPSConnection",
+    "http.client.HTTPConnection",
+)
 # fixed values: imported modules -> category
 IMPORTS = {
-    **dict.fromkeys(("pickle", "marshal", "cloudpickle", "dill"), "unsafe_deserialization"),
-    **dict.fromkeys(("ctypes", "_ctypes"), "native_invocation"),
+    "pickle": "unsafe_deserialization",
+    "marshal": "unsafe_deserialization",
+    "cloudpickle": "unsafe_deserialization",
+    "dill": "unsafe_deserialization",
+    "ctypes": "native_invocation",
+    "_ctypes": "native_invocation",
     "winreg": "system_persistence",
 }
 # fixed values: words that hidden code spells, and last parts of decoders that are chained
-SPELLED = set(
-    "eval exec compile __import__ import system popen spawn subprocess pickle marshal loads".split()
-)
-CHAINED = set(
-    "b64decode urlsafe_b64decode decodebytes unhexlify a2b_hex decode decompress loads fromhex".split()
-)
+SPELLED = {
+    "eval",
+    "exec",
+    "compile",
+    "__import__",
+    "import",
+    "system",
+    "popen",
+    "spawn",
+    "subprocess",
+    "pickle",
+    "marshal",
+    "loads",
+}
+CHAINED = {
+    "b64decode",
+    "urlsafe_b64decode",
+    "decodebytes",
+    "unhexlify",
+    "a2b_hex",
+    "decode",
+    "decompress",
+    "loads",
+    "fromhex",
+}
 LITERAL_LENGTH, LITERAL_ENTROPY = 40, 4.5
 MINIFIED_LENGTH, MINIFIED_SPACE = 400, 0.05
 # fixed values: kinds of hidden code -> severity, cwe
@@ -248,7 +296,7 @@ def read_syntax(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _COLUMNS)
 
     py = texts.where((F.col("suffix") == ".py") & F.col("text").isNotNull())
-    return py.select("file_id", "target", "rel_path", "text", F.col("n_bytes").cast("bigint")).mapInArrow(run, ROWS)
+    return spread(py.select("file_id", "target", "rel_path", "text", F.col("n_bytes").cast("bigint"))).mapInArrow(run, ROWS)
 
 
 _COLUMNS = [part.split()[0] for part in ROWS.split(", ")]

@@ -130,7 +130,7 @@ QUERIES = {
 }
 
 _RANK = "coalesce(list_position(['info','low','medium','high','critical'], lower(severity)) - 1, 0)"
-_JUDGED = """
+JUDGED = """
   CASE WHEN r IS NULL THEN 'clean' WHEN r >= 3 THEN 'malicious' ELSE 'suspicious' END AS label,
   CAST(CASE WHEN r IS NULL THEN 0.0 WHEN r = 4 THEN 0.98 WHEN r = 3 THEN 0.85 WHEN r = 2 THEN 0.55 ELSE 0.25 END AS DOUBLE) AS score,
   CASE WHEN r IS NULL OR r >= 3 THEN 'high' WHEN r = 2 THEN 'medium' ELSE 'low' END AS confidence,
@@ -143,7 +143,7 @@ _CASCADE = f"""
     FROM scan_findings) WHERE o <= coalesce(stop, 999)
 """
 _TARGET_VERDICTS = f"""
-  SELECT t.target, {_JUDGED}, coalesce(n, 0) AS findings_count
+  SELECT t.target, {JUDGED}, coalesce(n, 0) AS findings_count
   FROM (SELECT DISTINCT target FROM plugin_targets) t
   LEFT JOIN (SELECT target, max({_RANK}) AS r, count(*) AS n FROM scan_findings GROUP BY target) f ON t.target = f.target
 """
@@ -157,11 +157,11 @@ _FIRST = """
 """
 
 SQL = {
-    "scan_verdicts": f"""SELECT scan_id, {_JUDGED}, n AS findings_count FROM
+    "scan_verdicts": f"""SELECT scan_id, {JUDGED}, n AS findings_count FROM
         (SELECT scan_id, max({_RANK}) AS r, count(*) AS n FROM scan_findings GROUP BY scan_id)""",
     "target_verdicts": _TARGET_VERDICTS,
     "scan_cascade": f"SELECT scan_id, id, layer, severity, title FROM ({_CASCADE})",
-    "cascade_verdicts": f"""SELECT scan_id, {_JUDGED}, n AS findings_count FROM
+    "cascade_verdicts": f"""SELECT scan_id, {JUDGED}, n AS findings_count FROM
         (SELECT scan_id, max({_RANK}) AS r, count(*) AS n FROM ({_CASCADE}) GROUP BY scan_id)""",
     "scan_layers_run": f"""SELECT scan_id, array_to_string(['L0','L1','L2','L3','L4','L5'][1:coalesce(
         min(CASE WHEN {_RANK} = 4 THEN CAST(substr(layer, 2) AS INT) + 1 END), 6)], ',') AS layers_run
@@ -182,7 +182,7 @@ SQL = {
     + ", ".join(f"count(*) FILTER (lower(severity) = '{s}') AS {s}" for s in SEVERITIES)
     + " FROM scan_findings GROUP BY target, category",
     "latest_scan_verdicts": f"""WITH l AS (SELECT target, arg_max(scan_id, (started_at, scan_id)) AS scan_id FROM scan_findings
-        GROUP BY target) SELECT target, {_JUDGED}, n AS findings_count FROM (SELECT target, max({_RANK}) AS r, count(*) AS n
+        GROUP BY target) SELECT target, {JUDGED}, n AS findings_count FROM (SELECT target, max({_RANK}) AS r, count(*) AS n
         FROM scan_findings SEMI JOIN l USING (target, scan_id) GROUP BY target)""",
     "reference_urls": f"WITH m AS ({_MENTIONS}) {_FIRST}",
     "listed_reference_urls": f"""WITH a AS ({_MENTIONS}), m AS (SELECT * FROM a WHERE lower(rtrim(url, '/')) IN

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.operators.deps import manifest_lines, name_findings, parsed_dependencies
+from tidesift.operators.deps import advisory_findings, manifest_lines, name_findings, parsed_dependencies
 from tidesift.operators.digest import digest_findings
 from tidesift.operators.literal import literal_findings
 from tidesift.operators.nested import parse_workflows
@@ -33,6 +35,13 @@ class Inputs:
     signatures: Signatures
 
 
+def dependency_findings(x: Inputs) -> DataFrame:
+    """Names that are nearly known ones, and what advisories say of the dependencies."""
+    deps = parsed_dependencies(x.lines)
+    found = name_findings(deps, x.signatures.names)
+    return found if x.signatures.advisories is None else found.unionByName(advisory_findings(deps, x.signatures.advisories))
+
+
 #: A detector of one's own takes the inputs and gives findings.
 Detector = Callable[[Inputs], DataFrame]
 
@@ -41,17 +50,20 @@ DETECTORS: dict[str, Detector] = {
     "L1": lambda x: url_findings(x.texts, x.signatures.urls),
     "L2": lambda x: literal_findings(x.texts, x.signatures.patterns),
     "L3": lambda x: syntax_findings(x.rows),
-    "L4": lambda x: name_findings(parsed_dependencies(x.lines), x.signatures.names),
+    "L4": dependency_findings,
     "L5": lambda x: risk_findings(scored(target_counters(x.rows, x.files, x.lines))),
 }
 
 
 @dataclass(frozen=True)
 class Scan:
-    """findings as they exist after the cascade; verdicts with layers_run, one row per target."""
+    """findings as they exist after the cascade; verdicts with layers_run, one row per target; when the scan started, and
+    how many seconds each layer took for all targets together."""
 
     findings: DataFrame
     verdicts: DataFrame
+    started_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+    seconds: Mapping[str, float] = field(default_factory=dict)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -67,9 +79,10 @@ def all_findings(
     signatures: Signatures,
     layers: Sequence[str] = LAYERS,
     detectors: Mapping[str, Detector] = DETECTORS,
+    seconds: dict[str, float] | None = None,
 ) -> DataFrame:
     """The findings of all selected layers together, no cascade applied. Sources are parsed once, for all detectors; each
-    detector's findings are written to one table as it ends."""
+    detector's findings are written to one table as it ends. seconds: gets how long each layer took."""
     texts = with_text(files)
     rows = read_syntax(texts)
     if {"L3", "L5"} & {*layers}:
@@ -78,7 +91,10 @@ def all_findings(
     path = shared_path(files.sparkSession, "findings")
     for x in dict.fromkeys(layers):
         if x in detectors:
+            began = time.perf_counter()
             detectors[x](inputs).write.mode("append").parquet(path)
+            if seconds is not None:
+                seconds[x] = time.perf_counter() - began
     return files.sparkSession.read.schema(FINDING).parquet(path)
 
 
@@ -93,14 +109,15 @@ def scan(
     Detectors run over all files; the cascade then drops, per target, what would not have run after a critical finding.
     Without any layer every target is clean.
     """
+    started, seconds = datetime.now(timezone.utc), {}
     targets = files.select("target").distinct()
     if not any(x in detectors for x in layers):
         none = files.sparkSession.createDataFrame([], FINDING)
         return Scan(none, verdicts(none, targets).join(layers_run(none, targets, layers=layers), "target"))
-    found = all_findings(files, signatures, layers, detectors)
+    found = all_findings(files, signatures, layers, detectors, seconds)
     kept = cascade(found, layers=layers)
     judged = verdicts(kept, targets).join(layers_run(found, targets, layers=layers), "target")
-    return Scan(kept, judged)
+    return Scan(kept, judged, started, seconds)
 
 
 def scan_workflows(workflows: DataFrame, signatures: Signatures) -> Scan:

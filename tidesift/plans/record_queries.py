@@ -93,7 +93,22 @@ QUERIES = {
     "p5_nodes": p5_nodes,
 }
 
+_NAME = r"\A[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?(?:\[[A-Za-z0-9._-]+(?:,[A-Za-z0-9._-]+)*\])?\z"
+_VERSION = r"\A(?:[0-9]+(?:\.[0-9]+)*(?:(?:a|b|rc)[0-9]+)?(?:\.post[0-9]+)?(?:\.dev[0-9]+)?(?:\+[a-z0-9]+(?:\.[a-z0-9]+)*)?)?\z"
+_BROKEN_RULES = {
+    "target is empty": "f[1] = ''",
+    "source_file is empty": "f[2] = ''",
+    "line isn''t one to five digits": r"NOT regexp_matches(f[3], '\A[0-9]{1,5}\z')",
+    "name isn''t well formed": f"NOT regexp_matches(f[4], '{_NAME}')",
+    "version isn''t well formed": f"NOT regexp_matches(f[5], '{_VERSION}')",
+    "declared_at isn''t a calendar date": r"NOT regexp_matches(f[6], '\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z') OR try_cast(f[6] AS DATE) IS NULL "
+    "OR starts_with(f[6], '0000')",
+}
+
 SQL = {
+    "p2_reasons": f"""WITH {_PARSED} SELECT reason, error, count(*) AS n_records FROM (
+        SELECT reason, reason AS error FROM judged WHERE reason IN ('quoting', 'columns')
+        {" ".join(f"UNION ALL SELECT reason, '{e}' FROM judged WHERE reason = 'value' AND ({rule})" for e, rule in _BROKEN_RULES.items())}) GROUP BY reason, error""",
     "p2_found": f"WITH {_PARSED} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
     "p5_found": f"""WITH {_ITEMS} SELECT workflow_id, parent AS parent_ptr, node AS node_ptr, ptr AS value_ptr FROM items
         WHERE node IS NOT NULL AND json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')""",

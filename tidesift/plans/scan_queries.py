@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesift.operators.deps import manifest_lines, name_findings, parsed_dependencies
+from tidesift.functions.text import normal_name, requirement, requirement_text
+from tidesift.operators.deps import advisory_findings, manifest_lines, name_findings, parsed_dependencies
 from tidesift.operators.digest import digest_findings, digest_groups
 from tidesift.operators.literal import literal_findings
-from tidesift.operators.risk import scored, target_counters
+from tidesift.operators.risk import COUNTERS, DENSE, DENSITY, GROWING, scored, target_counters
 from tidesift.operators.syntax import read_syntax, syntax_findings
 from tidesift.operators.url import first_mentions, url_findings, url_mentions
 from tidesift.operators.workflow import (
@@ -18,9 +19,12 @@ from tidesift.operators.workflow import (
     widget_text,
     widget_urls,
 )
+from tidesift.plans.finding_queries import JUDGED as _JUDGED
 from tidesift.plans.pipeline import scan, scan_workflows
-from tidesift.session import table
-from tidesift.sources.signatures import PATTERN_SCHEMA, Signatures, built_in_patterns
+from tidesift.plans.text_queries import entry_sql, normal_sql as _normal, requirement_sql as _REQ, strip_sql as _strip
+from tidesift.session import small_side, table
+from tidesift.sources.png import embedded_workflows
+from tidesift.sources.signatures import BUILT_IN, PATTERN_SCHEMA, Signatures, built_in_patterns
 from tidesift.sources.texts import with_text
 
 
@@ -43,8 +47,8 @@ def _shared_digests(files: DataFrame) -> DataFrame:
 
 
 def _shared_urls(texts: DataFrame) -> DataFrame:
-    """A feed from the data: URLs that are mentioned more than once in a target."""
-    return first_mentions(url_mentions(texts)).where("n_mentions > 1").select("url")
+    """A feed from the data: URLs that Markdown files mention."""
+    return url_mentions(texts.where("suffix = '.md'")).select("url").distinct()
 
 
 def _signatures(spark: SparkSession, sf_dir: str, files: DataFrame) -> Signatures:
@@ -68,11 +72,23 @@ def l1_url_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l1_url_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = with_text(_files(spark, sf_dir))
-    return url_findings(texts, _shared_urls(texts))
+    return url_findings(texts, _shared_urls(texts)).select("target", "file", "line", "severity", "snippet")
 
 
 def l2_literal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_findings(with_text(_files(spark, sf_dir)), built_in_patterns(spark))
+    found = literal_findings(with_text(_files(spark, sf_dir)), built_in_patterns(spark))
+    pattern = F.regexp_extract("explanation", r"`(.*)`", 1)
+    return found.select("target", "file", "line", "category", "severity", pattern.alias("pattern"), "snippet", "cwe")
+
+
+def l2_name_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that name packages of the baseline: too many patterns for a join by substring."""
+    names = table(spark, sf_dir, "package_baseline").select(
+        F.col("name").alias("pattern"), F.lit("package_name").alias("category"), F.lit("info").alias("severity"),
+        F.lit(None).cast("string").alias("cwe"), F.col("pkg_id").cast("int").alias("ordinal"),
+    )
+    found = literal_findings(with_text(_files(spark, sf_dir)), names)
+    return found.groupBy("target", "file", "line", "title", "severity", "snippet").agg(F.count("*").alias("n"))
 
 
 def l3_syntax_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +104,67 @@ def l4_name_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_findings(deps, table(spark, sf_dir, "package_baseline"))
 
 
+def dependency_name_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed dependencies whose names are nearly those of the baseline."""
+    deps = table(spark, sf_dir, "dependencies").select("target", "source_file", "line", normal_name(F.col("name")).alias("name"))
+    found = name_findings(deps, table(spark, sf_dir, "package_baseline"))
+    return found.select("target", "file", "line", "severity", "title", "snippet")
+
+
+def dependency_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed requirements that advisories apply to. The advisories are made from the baseline: one for each version that a
+    dependency of that name is pinned to, and one for all versions of names with a hyphen."""
+    base = table(spark, sf_dir, "package_baseline").select("pkg_id", "name")
+    parsed = table(spark, sf_dir, "dependencies").select("target", requirement(requirement_text(F.col("name"))).alias("_r"))
+    deps = parsed.where("_r is not null").select("target", "_r.name", "_r.version")
+    pinned = deps.where("version is not null").select("name", "version").distinct().join(small_side(base), "name")
+    every = base.where(F.col("name").contains("-")).withColumn("version", F.lit(None).cast("string"))
+    known = pinned.unionByName(every).select(
+        "name", "version",
+        F.concat(F.lit("ADV-"), "pkg_id", F.coalesce(F.concat(F.lit("-"), "version"), F.lit(""))).alias("advisory_id"),
+        F.when(F.col("version").isNull(), "MODERATE").alias("severity"),
+        F.col("version").startswith("1").alias("has_score"),
+        F.col("name").alias("summary"),
+    )
+    return advisory_findings(deps, known).select("target", "severity", "title", "snippet", F.array_join("references", " ").alias("refs"))
+
+
+def pyproject_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed dependencies, each written into a pyproject.toml of its own, and read back."""
+    quoted = F.to_json(F.array("name"))
+    texts = table(spark, sf_dir, "dependencies").where("name is not null").select(
+        F.col("dep_id").cast("string").alias("target"),
+        F.lit("pyproject.toml").alias("rel_path"),
+        F.concat(F.lit('[project]\nname = "x"\ndependencies = '), quoted, F.lit("\n")).alias("text"),
+    )
+    return parsed_dependencies(manifest_lines(texts)).select("target", "source_file", "line", "name", "version")
+
+
+def png_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflow bodies, each embedded in a PNG file, and read back."""
+    data = F.concat(F.lit("workflow\0").cast("binary"), F.col("body").cast("binary"))
+    size = F.unhex(F.lpad(F.hex(F.length(data).cast("bigint")), 8, "0"))
+    end = F.unhex(F.lit("0000000049454E44AE426082"))
+    files = table(spark, sf_dir, "workflows").select(
+        F.col("workflow_id").alias("file_id"), "target", F.lit("w.png").alias("rel_path"), F.lit(".png").alias("suffix"),
+        F.when(F.col("body").isNotNull(), F.concat(F.unhex(F.lit("89504E470D0A1A0A")), size, F.lit("tEXt").cast("binary"), data, F.unhex(F.lit("00000000")), end)).alias("content"),
+    )
+    return embedded_workflows(files).select(F.col("file_id").alias("workflow_id"), "body", "reason")
+
+
+def finding_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk score over counters that are taken from findings: one by the line of each finding, lines of code by its
+    length."""
+    found = table(spark, sf_dir, "scan_findings").select("scan_id", F.coalesce("line", F.lit(0)).alias("line"), F.length("title").alias("n"))
+    counts = [F.count(F.when(F.col("line") % len(COUNTERS) == i, 1)).alias(c) for i, c in enumerate(COUNTERS) if c != "total_loc"]
+    scores = scored(found.groupBy("scan_id").agg(*counts, F.sum("n").alias("total_loc")))
+    signals = F.transform("reasons", lambda r: F.regexp_replace(r, r" \([^)]*\)$", ""))
+    return scores.select(
+        "scan_id", "dangerous_calls_total", F.round("dangerous_call_density", 9).alias("density"),
+        F.round("suspicious_import_ratio", 9).alias("import_ratio"), F.round("score", 9).alias("score"), F.array_join(signals, "; ").alias("signals"),
+    )
+
+
 def l5_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     texts = with_text(files)
@@ -146,7 +223,8 @@ QUERIES = {
     for q in (
         l0_digest_groups, l0_digest_findings, l1_url_mentions, l1_url_findings, l2_literal_findings, l3_syntax_findings,
         l4_dependencies, l4_name_findings, l5_risk_scores, scan_targets, workflow_root_nodes, workflow_node_types,
-        workflow_widgets, workflow_widget_text, workflow_urls, workflow_literals, workflow_verdicts,
+        workflow_widgets, workflow_widget_text, workflow_urls, workflow_literals, workflow_verdicts, l2_name_literals,
+        dependency_name_findings, dependency_advisories, pyproject_dependencies, png_workflows, finding_risk_scores,
     )
 }
 
@@ -168,7 +246,7 @@ nodes AS (
   FROM (SELECT workflow_id, form, i, json_extract(b, '/nodes/' || i) AS n
         FROM formed, unnest(range(CAST(json_array_length(b, '/nodes') AS BIGINT))) AS u(i) WHERE form = 'ui') WHERE json_type(n) = 'OBJECT'
   UNION ALL
-  SELECT workflow_id, form, 0, k, json_extract_string(n, '/class_type'), n
+  SELECT workflow_id, form, row_number() OVER (PARTITION BY workflow_id ORDER BY k) - 1, k, json_extract_string(n, '/class_type'), n
   FROM (SELECT workflow_id, form, k, json_extract(b, '/' || replace(replace(k, '~', '~0'), '/', '~1')) AS n
         FROM (SELECT workflow_id, form, b, unnest(json_keys(b)) AS k FROM formed WHERE form = 'prompt'))),
 listed AS (
@@ -188,6 +266,74 @@ widgets AS (
           WHERE form = 'ui' AND json_type(n, '/widgets_values') = 'OBJECT')))
 """
 
+# file contents as text: the valid sequences of UTF-8 among the bytes in hexadecimal, and line feeds as line ends
+_UTF8 = "|".join(
+    (
+        "[0-7][0-9A-F]", "(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]", "E0[AB][0-9A-F][89AB][0-9A-F]", "E[1-9A-CEF](?:[89AB][0-9A-F]){2}",
+        "ED[89][0-9A-F][89AB][0-9A-F]", "F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}", "F[1-3](?:[89AB][0-9A-F]){3}", "F48[0-9A-F](?:[89AB][0-9A-F]){2}",
+    )
+)
+_TEXTS = f"""
+texts AS (SELECT target, rel_path, suffix, replace(replace(decode(unhex(array_to_string(list_filter(
+    regexp_extract_all(hex(content), '{_UTF8}|..'), lambda x: regexp_full_match(x, '{_UTF8}')), ''))), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text
+  FROM plugin_files WHERE content IS NOT NULL AND suffix IN ('.py', '.txt', '.toml', '.md', '.yaml', '.yml', '.json')),
+lines AS (SELECT target, rel_path, suffix, CAST(i AS INT) AS line, l[i] AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM texts),
+  unnest(range(1, len(l) + 1)) AS u(i))
+"""
+_FOUND_URLS = r"""
+m AS (SELECT target, rel_path, line, u AS url FROM (SELECT *, unnest(regexp_extract_all(text,
+    '(?i)(?:https?://|wss?://)[a-zA-Z0-9\-._~:/?#@!$&''()*+,;=%]+')) AS u FROM lines)),
+first AS (SELECT target, url, arg_min(rel_path, (rel_path, line)) AS rel_path, arg_min(line, (rel_path, line)) AS line, count(*) AS n_mentions
+  FROM m GROUP BY target, url)
+"""
+_CUT = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1} - 3) || '...' ELSE {0} END".format
+_LINE = _CUT(_strip("l.text"), 200)
+
+
+def _known(rows: list[tuple]) -> str:
+    values = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    return f"(VALUES {values}) AS k(pattern, category, severity, cwe, o)"
+
+
+_BUILT_IN = _known([(p, *kind, i) for i, (kind, p) in enumerate((kind, p) for kind, ps in BUILT_IN.items() for p in ps)])
+_DEPS = rf"""
+d AS (SELECT target, {_normal('n')} AS name, CASE WHEN o = '==' AND regexp_full_match(v, '[A-Za-z0-9._+-]+') THEN v END AS version
+  FROM (SELECT target, regexp_extract(entry, {_REQ}, 1) AS n, regexp_extract(entry, {_REQ}, 2) AS o, regexp_extract(entry, {_REQ}, 3) AS v
+        FROM (SELECT target, {entry_sql} AS entry FROM dependencies)) WHERE n <> '')
+"""
+_NEAR = rf"""
+k AS (SELECT DISTINCT {_normal('name')} AS near FROM package_baseline),
+n AS (SELECT DISTINCT {_normal('name')} AS name FROM dependencies),
+near AS (SELECT name, arg_min(near, (distance, near)) AS near, min(distance) AS distance FROM (
+    SELECT name, near, levenshtein(regexp_replace(name, '[^\x00-\x7f]', '?', 'g'), near) AS distance FROM n, k
+    WHERE length(name) >= 4 AND abs(length(name) - length(near)) <= 2 AND name NOT IN (SELECT near FROM k)) WHERE distance <= 2 GROUP BY name)
+"""
+_MANIFESTS = rf"""
+entries AS (
+  SELECT target, rel_path, line, {_strip("split_part(text, '#', 1)")} AS entry FROM lines
+  WHERE lower(split_part(rel_path, '/', -1)) = 'requirements.txt' OR ends_with(lower(rel_path), '.requirements.txt')
+  UNION ALL
+  SELECT target, rel_path, 0, unnest(regexp_extract_all(regexp_extract(text, '(?s)\ndependencies = \[(.*?)\n\]', 1), '"([^"]*)"', 1)) FROM texts
+  WHERE lower(split_part(rel_path, '/', -1)) = 'pyproject.toml'),
+parsed AS (SELECT target, rel_path, line, regexp_extract(e, {_REQ}, 1) AS n, regexp_extract(e, {_REQ}, 2) AS o, regexp_extract(e, {_REQ}, 3) AS v
+  FROM (SELECT *, {_strip("split_part(entry, ';', 1)")} AS e FROM entries WHERE entry <> '' AND NOT starts_with(entry, '-')
+    AND (line = 0 OR NOT contains(entry, '://') AND NOT regexp_matches(entry, '^(git|hg|svn|bzr)\+'))))
+"""
+
+
+def _worth(counter: str, *how: object) -> str:
+    if isinstance(how[0], dict):
+        return "CASE " + " ".join(f"WHEN {counter} >= {n} THEN {w}::DOUBLE" for n, w in how[0].items()) + " ELSE 0.0::DOUBLE END"
+    most, base, each = how
+    return f"CASE WHEN {counter} > 0 THEN least({most}::DOUBLE, {base}::DOUBLE + {counter} * {each}::DOUBLE) ELSE 0.0::DOUBLE END"
+
+
+_DANGEROUS = "eval_calls + exec_calls + compile_calls + import_dunder_calls + shell_calls + deserialization_calls"
+_PER_LINES = f"CASE WHEN total_loc > 0 THEN 100.0::DOUBLE * ({_DANGEROUS}) / total_loc ELSE 0.0::DOUBLE END"
+_SIGNALS = {signal: _worth(counter, *how) for signal, (counter, *how) in GROWING.items()} | {
+    "dense dangerous calls": f"CASE WHEN {_PER_LINES} > {DENSITY} THEN {DENSE}::DOUBLE ELSE 0.0::DOUBLE END"
+}
+
 SQL = {
     "l0_digest_groups": _GROUPS.format(""),
     "l0_digest_findings": f"""SELECT target, rel_path AS file, 'critical' AS severity, 'known_malware' AS category, 'L0' AS layer
@@ -201,4 +347,48 @@ SQL = {
     "workflow_literals": f"""WITH {_FLOWS} SELECT DISTINCT workflow_id, node_id, pattern, category, severity FROM widgets,
         (VALUES {", ".join(f"('{p}', '{c}', '{s}')" for p, c, s, _ in WIDGET_PATTERNS)}) AS v(pattern, category, severity)
         WHERE contains(value, pattern)""",
+    "l1_url_mentions": f"WITH {_TEXTS}, {_FOUND_URLS} SELECT target, url, rel_path, line, n_mentions FROM first",
+    "l1_url_findings": f"""WITH {_TEXTS}, {_FOUND_URLS} SELECT target, rel_path AS file, line, 'high' AS severity, url AS snippet FROM first
+        WHERE lower(rtrim(url, '/')) IN (SELECT lower(rtrim(url, '/')) FROM m WHERE ends_with(rel_path, '.md'))""",
+    "l2_literal_findings": f"""WITH {_TEXTS} SELECT target, rel_path AS file, line, category, severity, pattern, {_LINE} AS snippet, cwe
+        FROM lines l, {_BUILT_IN} WHERE contains(l.text, pattern)""",
+    "l2_name_literals": f"""WITH {_TEXTS} SELECT target, rel_path AS file, line, 'package_name: `' || {_CUT("name", 60)} || '` is in the text' AS title,
+        'info' AS severity, {_LINE} AS snippet, count(*) AS n FROM lines l, package_baseline WHERE contains(l.text, name) GROUP BY ALL""",
+    "l4_dependencies": f"""WITH {_TEXTS}, {_MANIFESTS} SELECT target, rel_path AS source_file, line, {_normal("n")} AS name,
+        CASE WHEN o = '==' AND regexp_full_match(v, '[A-Za-z0-9._+-]+') THEN v END AS version FROM parsed WHERE n <> ''""",
+    "dependency_name_findings": f"""WITH {_NEAR} SELECT target, source_file AS file, line, CASE WHEN distance = 1 THEN 'high' ELSE 'medium' END AS severity,
+        '`' || near.name || '` is nearly `' || near || '`' AS title, near.name AS snippet
+        FROM dependencies JOIN near ON {_normal("dependencies.name")} = near.name""",
+    "dependency_advisories": f"""WITH {_DEPS}, a AS (
+          SELECT name, version, 'ADV-' || pkg_id || '-' || version AS id, CASE WHEN starts_with(version, '1') THEN 'high' ELSE 'medium' END AS severity
+          FROM (SELECT DISTINCT name, version FROM d WHERE version IS NOT NULL) JOIN package_baseline USING (name)
+          UNION ALL SELECT name, NULL, 'ADV-' || pkg_id, 'medium' FROM package_baseline WHERE contains(name, '-'))
+        SELECT d.target, a.severity, id || ' applies to `' || d.name || coalesce('==' || d.version, '') || '`' AS title,
+          d.name || coalesce('==' || d.version, '') AS snippet, 'https://osv.dev/vulnerability/' || id AS refs
+        FROM (SELECT DISTINCT * FROM d) d JOIN a ON d.name = a.name AND (a.version IS NULL OR a.version = d.version)""",
+    "pyproject_dependencies": f"""WITH e AS (SELECT dep_id, {_strip("split_part(name, ';', 1)")} AS e FROM dependencies WHERE name IS NOT NULL),
+        r AS (SELECT dep_id, regexp_extract(e, {_REQ}, 1) AS n, regexp_extract(e, {_REQ}, 2) AS o, regexp_extract(e, {_REQ}, 3) AS v FROM e)
+        SELECT CAST(dep_id AS VARCHAR) AS target, 'pyproject.toml' AS source_file, 0 AS line, {_normal("n")} AS name,
+          CASE WHEN o = '==' AND regexp_full_match(v, '[A-Za-z0-9._+-]+') THEN v END AS version FROM r WHERE n <> ''""",
+    "png_workflows": "SELECT workflow_id, body, CASE WHEN body IS NULL THEN 'not a png' END AS reason FROM workflows",
+    "finding_risk_scores": f"""WITH c AS (SELECT scan_id, {", ".join(f"count(*) FILTER (coalesce(line, 0) % {len(COUNTERS)} = {i}) AS {c}" for i, c in enumerate(COUNTERS) if c != "total_loc")},
+          sum(length(title)) AS total_loc FROM scan_findings GROUP BY scan_id),
+        s AS (SELECT scan_id, place, signal, worth FROM c, LATERAL (VALUES {", ".join(f"({i}, '{n}', {w})" for i, (n, w) in enumerate(_SIGNALS.items()))}) AS v(place, signal, worth)),
+        t AS (SELECT scan_id, string_agg(signal, '; ' ORDER BY r) AS signals FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY worth DESC, place) AS r
+              FROM s WHERE worth > 0) WHERE r <= 6 GROUP BY scan_id)
+        SELECT c.scan_id, {_DANGEROUS} AS dangerous_calls_total, round({_PER_LINES}, 9) AS density,
+          round(CASE WHEN total_import_count > 0 THEN suspicious_import_count / total_import_count ELSE 0.0 END, 9) AS import_ratio,
+          round(least(1.0::DOUBLE, {" + ".join(_SIGNALS.values())}), 9) AS score, coalesce(signals, '') AS signals FROM c LEFT JOIN t ON c.scan_id = t.scan_id""",
+    "workflow_widget_text": f"""WITH {_FLOWS} SELECT workflow_id, CAST(pos AS INT) AS node_pos, string_agg(value, chr(10) ORDER BY idx, value) AS text
+        FROM widgets GROUP BY workflow_id, pos""",
+    "workflow_verdicts": rf"""WITH {_FLOWS},
+        urls AS (SELECT workflow_id, node_id, node_type, regexp_replace(url, '[.,;:!?]+$', '') AS url FROM (SELECT workflow_id, pos, node_id, node_type, idx,
+          unnest(list_distinct(regexp_extract_all(value, '(?i)https?://[^\s"''<>()\[\]{{}}]+'))) AS url FROM widgets)),
+        f AS (SELECT workflow_id, 4 AS r FROM (SELECT DISTINCT workflow_id, node_id, node_type, url FROM urls
+            WHERE url IN (SELECT url FROM urls GROUP BY url HAVING count(*) > 1))
+          UNION ALL SELECT workflow_id, list_position(['info','low','medium','high','critical'], severity) - 1 FROM (
+            SELECT DISTINCT workflow_id, node_id, pattern, severity FROM widgets, {_BUILT_IN} WHERE contains(value, pattern))),
+        j AS (SELECT workflow_id, max(r) AS r, count(*) AS n FROM f GROUP BY workflow_id)
+        SELECT CAST(v.workflow_id AS VARCHAR) AS target, {_JUDGED}, coalesce(n, 0) AS findings_count
+        FROM (SELECT DISTINCT workflow_id FROM formed WHERE form IS NOT NULL) v LEFT JOIN j ON v.workflow_id = j.workflow_id""",
 }

@@ -134,17 +134,17 @@ _HITS = f"""
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _strip(column: str) -> str:
+def strip_sql(column: str) -> str:
     return f"regexp_replace({column}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
-def _normal(column: str) -> str:
-    return f"regexp_replace(lower({_strip(column)}), '[-_.]+', '-', 'g')"
+def normal_sql(column: str) -> str:
+    return f"regexp_replace(lower({strip_sql(column)}), '[-_.]+', '-', 'g')"
 
 
-_BARE = _strip("split_part(name, '#', 1)")
-_ENTRY = f"CASE WHEN {_BARE} <> '' AND NOT starts_with({_BARE}, '-') THEN {_BARE} END"
-_REQ = r"'^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\s*\[[^\]]*\])?\s*(==|>=|<=|!=|~=|<|>)?\s*([A-Za-z0-9._+*-]*)'"
+_BARE = strip_sql("split_part(name, '#', 1)")
+entry_sql = f"CASE WHEN {_BARE} <> '' AND NOT starts_with({_BARE}, '-') THEN {_BARE} END"
+requirement_sql = r"'^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\s*\[[^\]]*\])?\s*(==|>=|<=|!=|~=|<|>)?\s*([A-Za-z0-9._+*-]*)'"
 
 SQL = {
     "document_literals": _HITS,
@@ -173,20 +173,20 @@ SQL = {
           OR regexp_matches(word, '^_+[^_aeiouyAEIOUY][^aeiouyAEIOUY]{1,2}$') AS odd,
         NOT regexp_matches(lower(word), '[aeiouy]') AS no_vowel
         FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS word FROM documents) GROUP BY word""",
-    "normal_names": f"""SELECT {_normal('name')} AS normal, count(*) AS n, count(DISTINCT name) AS n_spellings
+    "normal_names": f"""SELECT {normal_sql('name')} AS normal, count(*) AS n, count(DISTINCT name) AS n_spellings
         FROM dependencies WHERE name IS NOT NULL GROUP BY 1""",
-    "requirement_names": f"""WITH e AS (SELECT dep_id, {_ENTRY} AS entry FROM dependencies),
-        r AS (SELECT dep_id, regexp_extract(entry, {_REQ}, 1) AS n, regexp_extract(entry, {_REQ}, 2) AS o,
-              regexp_extract(entry, {_REQ}, 3) AS v FROM e)
-        SELECT dep_id, {_normal('n')} AS name,
+    "requirement_names": f"""WITH e AS (SELECT dep_id, {entry_sql} AS entry FROM dependencies),
+        r AS (SELECT dep_id, regexp_extract(entry, {requirement_sql}, 1) AS n, regexp_extract(entry, {requirement_sql}, 2) AS o,
+              regexp_extract(entry, {requirement_sql}, 3) AS v FROM e)
+        SELECT dep_id, {normal_sql('n')} AS name,
           CASE WHEN o = '==' AND regexp_full_match(v, '[A-Za-z0-9._+-]+') THEN v END AS version FROM r WHERE n <> ''""",
-    "requirement_counts": f"""WITH e AS (SELECT target, {_ENTRY} AS entry FROM dependencies)
+    "requirement_counts": f"""WITH e AS (SELECT target, {entry_sql} AS entry FROM dependencies)
         SELECT target, count(*) AS requirements_count,
           count(*) FILTER (regexp_matches(entry, '^(git|hg|svn|bzr)\\+')) AS requirements_vcs_count,
           count(*) FILTER (contains(entry, '://')) AS requirements_url_count
         FROM e WHERE entry IS NOT NULL GROUP BY target""",
-    "near_dependencies": f"""WITH k AS (SELECT DISTINCT {_normal('name')} AS near FROM package_baseline),
-        n AS (SELECT DISTINCT {_normal('name')} AS name FROM dependencies),
+    "near_dependencies": f"""WITH k AS (SELECT DISTINCT {normal_sql('name')} AS near FROM package_baseline),
+        n AS (SELECT DISTINCT {normal_sql('name')} AS name FROM dependencies),
         p AS (SELECT name, near, levenshtein(regexp_replace(name, '[^\\x00-\\x7f]', '?', 'g'), near) AS distance FROM n, k
           WHERE length(name) >= 4 AND abs(length(name) - length(near)) <= 2 AND name NOT IN (SELECT near FROM k))
         SELECT name, arg_min(near, (distance, near)) AS near, min(distance) AS distance FROM p WHERE distance <= 2 GROUP BY name""",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidesift import __version__
 from tidesift.schema import FINDING_COLUMNS
 
 SCHEMA_VERSION = "1.0"
-MARKS = {"clean": "🟢", "suspicious": "🟡", "malicious": "🔴", "error": "⚠️"}
+ADVICE = {"install": "may be installed", "review": "look at it first", "do_not_install": "don't install it"}
 
 
 def report_lines(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -39,49 +40,64 @@ def report_lines(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def _finding(r: Row) -> list[str]:
-    out = [f"### [{r.severity.upper()}] {r.title}", "", f"- **ID:** `{r.id}`", f"- **Layer:** {r.layer}", f"- **Category:** {r.category}"]
-    if r.file:
-        out.append(f"- **Location:** `{r.file}{f':{r.line}' if r.line else ''}`")
-    if r.snippet:
-        out += ["", "```", r.snippet, "```"]
-    out += ["", r.explanation, ""]
-    if r.references:
-        out += ["**References:**", *(f"- {x}" for x in r.references), ""]
-    return [*out, f"**CWE:** {r.cwe}", ""] if r.cwe else out
+def _finding(n: int, r: Row) -> Iterator[str]:
+    place = "" if not r.file else f" in `{r.file}`" if r.line is None else f" in `{r.file}`, line {r.line}"
+    yield f"{n}. {r.title}{place}"
+    yield f"   - {r.severity}, {r.category}" + (f", {r.cwe}" if r.cwe else "") + f" (`{r.id}`)"
+    yield f"   - {r.explanation}"
+    for line in (r.snippet or "").splitlines():
+        yield f"   > {line}"
+    for x in r.references or ():
+        yield f"   - see {x}"
 
 
-def markdown(findings: DataFrame, verdicts: DataFrame, target: str) -> Iterator[str]:
-    """The report of one target, line by line; its findings are fetched one after another, not all at once."""
+def _took(seconds: Mapping[str, float]) -> str:
+    return ", ".join(f"{layer} {s:.1f} s" for layer, s in seconds.items())
+
+
+def markdown(findings: DataFrame, verdicts: DataFrame, target: str, seconds: Mapping[str, float] | None = None) -> Iterator[str]:
+    """The report of one target, line by line; its findings are fetched one after another, not all at once. A section per
+    layer, the findings numbered through. seconds: how long each layer took."""
     v = verdicts.where(F.col("target") == target).first()
     if v is None:
         raise LookupError(target)
-    yield from (
-        f"# Scan report: {target}",
-        "",
-        f"**Verdict:** {MARKS[v.label]} `{v.label}` (score `{v.score:.2f}`, confidence `{v.confidence}`)",
-        f"**Recommendation:** `{v.recommendation}`",
-        f"**Scanner:** tidesift v{__version__}",
-    )
+    yield from (f"# {target}: {v.label}", "")
+    yield f"Score {v.score:.2f} with {v.confidence} confidence: {ADVICE[v.recommendation]}."
     if "layers_run" in verdicts.columns:
-        yield f"**Layers run:** {', '.join(v.layers_run)}"
-    yield from ("", "## Findings", "")
+        yield f"tidesift {__version__} ran {', '.join(v.layers_run) or 'no layer'}" + (f" ({_took(seconds)})." if seconds else ".")
+    yield ""
     if not v.findings_count:
-        yield "No findings. The target appears clean."
+        yield "There are no findings."
+    layer = None
     ordered = findings.where(F.col("target") == target).orderBy("layer", "file", "line", "id")
-    for r in ordered.toLocalIterator():
-        yield from _finding(r)
-
-
-def json_report(findings: DataFrame, verdicts: DataFrame, target: str) -> Iterator[str]:
-    """The report of one target as one JSON document, in pieces."""
+    for n, r in enumerate(ordered.toLocalIterator(), 1):
+        if r.layer != layer:
+            layer = r.layer
+            yield from (f"## Layer {layer}", "")
+        yield from _finding(n, r)
+
+
+def json_report(
+    findings: DataFrame,
+    verdicts: DataFrame,
+    target: str,
+    started_at: datetime | None = None,
+    seconds: Mapping[str, float] | None = None,
+) -> Iterator[str]:
+    """The report of one target as one JSON document, in pieces. With seconds it says how long each layer took, and all."""
     v = verdicts.where(F.col("target") == target).first()
     if v is None:
         raise LookupError(target)
+    scan = {"target": target, "layers_run": list(v.layers_run) if "layers_run" in verdicts.columns else []}
+    if started_at is not None:
+        scan["started_at"] = started_at.isoformat()
+    if seconds is not None:
+        ms = {layer: round(1000 * s) for layer, s in seconds.items()}
+        scan |= {"duration_ms": sum(ms.values()), "layer_duration_ms": ms}
     head = {
         "schema_version": SCHEMA_VERSION,
         "scanner": {"name": "tidesift", "version": __version__},
-        "scan": {"target": target, "layers_run": list(v.layers_run) if "layers_run" in verdicts.columns else []},
+        "scan": scan,
         "verdict": {"label": v.label, "score": v.score, "confidence": v.confidence},
         "recommendation": v.recommendation,
     }
@@ -100,11 +116,10 @@ def batch_json(verdicts: DataFrame) -> DataFrame:
 
 
 def batch_markdown(verdicts: DataFrame, worst: str | None) -> Iterator[str]:
-    """A table with a row per target, and the worst verdict."""
-    yield from ("| Node | Verdict | Score | Recommendation | Findings |", "|---|---|---|---|---|")
+    """What is the worst of all, and a table with a row per target."""
+    yield from (f"The worst of these is {worst or 'clean'}.", "", "| target | label | score | findings | advice |", "|:---|:---|---:|---:|:---|")
     for r in verdicts.orderBy("target").toLocalIterator():
-        yield f"| `{r.target}` | {r.label} | {r.score:.2f} | `{r.recommendation}` | {r.findings_count} |"
-    yield from ("", f"Worst verdict: **{worst or 'clean'}**")
+        yield f"| {r.target} | {r.label} | {r.score:.2f} | {r.findings_count} | {ADVICE[r.recommendation]} |"
 
 
 def emit(lines: Iterator[str], end: str = "\n") -> None:

@@ -23,10 +23,14 @@ def _inflate(data: bytes) -> bytes:
     stream = zlib.decompressobj()
     out = stream.decompress(data, MAX_INFLATED)
     if stream.unconsumed_tail:
-        raise ValueError("too large")
+        raise TooLarge
     return out
 
 
+class TooLarge(ValueError):
+    """A chunk holds more than MAX_INFLATED bytes."""
+
+
 def _chunk_text(kind: bytes, data: bytes) -> tuple[str, str] | None:
     """(keyword, text) of a text chunk; None for one that isn't well formed."""
     key, zero, rest = data.partition(b"\0")
@@ -43,7 +47,7 @@ def _chunk_text(kind: bytes, data: bytes) -> tuple[str, str] | None:
         if not zero:
             return None
         return name, (_inflate(body) if packed else body).decode("utf-8", "replace")
-    except (zlib.error, ValueError):
+    except zlib.error:
         return None
 
 
@@ -67,7 +71,8 @@ def png_texts(content: bytes) -> dict[str, str] | None:
 
 def embedded_workflows(files: DataFrame) -> DataFrame:
     """file_id, target, rel_path, body and reason of each `.png` file: the text under the first of KEYS that it has, or
-    the reason why there is none (`not a png`, `no workflow`). Whether the text is a workflow is for its parser to say."""
+    the reason why there is none (`not a png`, `no workflow`, `too large` for a chunk of more than MAX_INFLATED bytes).
+    Whether the text is a workflow is for its parser to say."""
     ship_package(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +80,13 @@ def embedded_workflows(files: DataFrame) -> DataFrame:
             bodies: list[str | None] = []
             reasons: list[str | None] = []
             for content in batch.column(3):
-                texts = png_texts(content.as_py() or b"")
+                try:
+                    texts, reason = png_texts(content.as_py() or b""), "no workflow"
+                except TooLarge:
+                    texts, reason = {}, "too large"
                 body = next((texts[k] for k in KEYS if k in texts), None) if texts is not None else None
                 bodies.append(body)
-                reasons.append("not a png" if texts is None else None if body is not None else "no workflow")
+                reasons.append("not a png" if texts is None else None if body is not None else reason)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(bodies, pa.string()), pa.array(reasons, pa.string())],
                 [*batch.schema.names[:3], "body", "reason"],

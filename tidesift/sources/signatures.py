@@ -16,6 +16,9 @@ from tidesift.functions.text import normal_name
 FOLDER_VARIABLE = "TIDESIFT_SIGNATURES"
 # fixed values: the names of signature files
 DIGESTS, URLS, NAMES, PATTERNS = "known_malware.jsonl", "malicious_urls.txt", "top_pypi_packages.txt", "patterns.json"
+#: A file of advisories beside them, in the place of a live service
+ADVISORIES = "advisories.jsonl"
+ADVISORY_SCHEMA = "name string, version string, advisory_id string, severity string, has_score boolean, summary string"
 DIGEST_SCHEMA = (
     "id string, name string, type string, value string, category array<string>, severity string, first_seen string, "
     "references array<string>, similar_to string"
@@ -39,12 +42,13 @@ BUILT_IN = {
 @dataclass(frozen=True)
 class Signatures:
     """digests: sig_id, sig_name, value, category, severity, references, ordinal; urls: url; names: name; patterns: pattern,
-    category, severity, cwe, ordinal."""
+    category, severity, cwe, ordinal; advisories: those of ADVISORY_SCHEMA, or none."""
 
     digests: DataFrame
     urls: DataFrame
     names: DataFrame
     patterns: DataFrame
+    advisories: DataFrame | None = None
 
 
 def signature_folder(given: str | None = None) -> str | None:
@@ -114,8 +118,17 @@ def built_in_patterns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], PATTERN_SCHEMA)
 
 
+def read_advisories(spark: SparkSession, path: str) -> DataFrame | None:
+    """Advisories of a file of JSON lines: name, version (null: every version), advisory_id, severity, has_score, summary.
+    Lines without a name or an id, and broken ones, are skipped; None if there is no file."""
+    if not os.path.exists(path):
+        return None
+    rows = spark.read.text(path).select(F.from_json("value", ADVISORY_SCHEMA).alias("a")).select("a.*")
+    return rows.where("name is not null and advisory_id is not null")
+
+
 def load_signatures(spark: SparkSession, folder: str | None = None) -> Signatures:
-    """All four tables of a folder of signature files; without one, the patterns built in and empty tables."""
+    """All tables of a folder of signature files; without one, the patterns built in and empty tables."""
     folder = signature_folder(folder)
     if folder is None:
         return Signatures(
@@ -126,4 +139,5 @@ def load_signatures(spark: SparkSession, folder: str | None = None) -> Signature
         read_list(spark, f"{folder}/{URLS}", "url"),
         read_names(spark, f"{folder}/{NAMES}"),
         read_patterns(spark, f"{folder}/{PATTERNS}"),
+        read_advisories(spark, f"{folder}/{ADVISORIES}"),
     )
