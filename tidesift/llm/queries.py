@@ -123,4 +123,36 @@ QUERIES = {
     "p9_restored": p9_restored,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))".format
+_MARKUP = r"'<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z][A-Za-z0-9]+|#[0-9]+|#[xX][0-9A-Fa-f]+);'"
+
+
+def _readings(table_name: str, key: str) -> str:
+    """The words of each text, as it is and without markup."""
+    return f"""SELECT {key} AS k, 0 AS r, {_WORDS("text")} AS w FROM {table_name} WHERE text IS NOT NULL
+      UNION ALL SELECT {key}, 1, {_WORDS(f"regexp_replace(text, {_MARKUP}, ' ', 'gs')")} FROM {table_name}
+        WHERE text IS NOT NULL AND regexp_replace(text, {_MARKUP}, ' ', 'gs') <> text"""
+
+
+# alignments of a document and an item that have six words in common, a score for each of their words (one in ten may be
+# replaced), and passages of at least 18 words whose scores don't add up to less than nothing
+_LEAKED = f"""
+docs AS ({_readings("documents", "doc_id")}),
+items AS (SELECT * FROM ({_readings("eval_items", "item_id")}) WHERE len(w) >= 18),
+doc_words AS (SELECT k, r, i AS p, w[i] AS word FROM docs, unnest(range(1, len(w) + 1)) AS u(i)),
+item_words AS (SELECT k, r, i AS p, w[i] AS word FROM items, unnest(range(1, len(w) + 1)) AS u(i)),
+doc_runs AS (SELECT k, r, i AS p, array_to_string(w[i:i + 5], ' ') AS run FROM docs, unnest(range(1, len(w) - 4)) AS u(i)),
+item_runs AS (SELECT k, r, i AS p, array_to_string(w[i:i + 5], ' ') AS run FROM items, unnest(range(1, len(w) - 4)) AS u(i)),
+aligned AS (SELECT DISTINCT d.k AS doc_id, d.r AS dr, i.k AS item_id, i.r AS ir, d.p - i.p AS shift FROM doc_runs d JOIN item_runs i USING (run)),
+scored AS (SELECT a.*, i.p, CASE WHEN d.word = i.word THEN 1 ELSE -9 END AS s FROM aligned a
+  JOIN item_words i ON i.k = item_id AND i.r = ir JOIN doc_words d ON d.k = doc_id AND d.r = dr AND d.p = i.p + shift),
+summed AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, dr, item_id, ir, shift ORDER BY p) AS total FROM scored),
+judged AS (SELECT doc_id, item_id, total, min(total - s) OVER (PARTITION BY doc_id, dr, item_id, ir, shift ORDER BY p
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 17 PRECEDING) AS least FROM summed),
+leaked AS (SELECT DISTINCT doc_id, item_id FROM judged WHERE total >= least)
+"""
+
+SQL: dict[str, str] = {
+    "p7_found": f"WITH {_LEAKED} SELECT doc_id, item_id FROM leaked",
+    "p7_items": f"WITH {_LEAKED} SELECT item_id, count(*) AS n_documents FROM leaked GROUP BY item_id",
+}
