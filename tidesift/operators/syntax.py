@@ -174,6 +174,25 @@ def is_mixed(name: str) -> bool:
     return "LATIN" in found and bool(found - {"LATIN", "COMMON", "DIGIT"})
 
 
+def nodes(tree: ast.AST) -> Iterator[ast.AST]:
+    """The nodes of a syntax tree, level by level, without contexts and operators."""
+    level = [tree]
+    for node in level:
+        yield node
+        for name in node._fields:
+            if name in ("ctx", "op", "ops"):
+                continue
+            value = getattr(node, name, None)
+            if type(value) is list:
+                level += [x for x in value if isinstance(x, ast.AST)]
+            elif isinstance(value, ast.AST):
+                level.append(value)
+
+
+#: The kinds of nodes that any rule is about
+_ASKED = {ast.Call, ast.Import, ast.ImportFrom, ast.BinOp, ast.Constant, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Assign}
+
+
 def _spelled(leaves: list[ast.AST]) -> tuple[str, str] | None:
     """(kind, word) where the leaves of a sum spell a known word in at least three pieces."""
     if len(leaves) < 3:
@@ -229,7 +248,9 @@ def syntax_rows(text: str) -> list[Row] | None:
     def at(line: int) -> str:
         return lines[line - 1].strip() if 0 < line <= len(lines) else ""
 
-    for node in ast.walk(tree):
+    for node in nodes(tree):
+        if type(node) not in _ASKED:
+            continue
         if isinstance(node, ast.Call):
             func, line = node.func, node.lineno
             if isinstance(func, ast.Name):
@@ -271,7 +292,7 @@ def syntax_rows(text: str) -> list[Row] | None:
                 if not name.isascii() and is_mixed(name):
                     rows.append(("hiding", "mixed_script", line, f"name {name!r} of several scripts", None, name))
     if len(text) >= MINIFIED_LENGTH:
-        share = sum(c.isspace() for c in text) / len(text)
+        share = 1 - sum(map(len, text.split())) / len(text)
         if share < MINIFIED_SPACE:
             rows.append(("hiding", "minified", 1, f"{len(text)} characters, {share:.3f} of them white space", None, None))
     return rows

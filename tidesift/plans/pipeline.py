@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -30,9 +31,14 @@ class Inputs:
 
     files: DataFrame
     texts: DataFrame
-    rows: DataFrame
     lines: DataFrame
     signatures: Signatures
+    parsed: Future[DataFrame]
+
+    @property
+    def rows(self) -> DataFrame:
+        """Rows of syntax, a table that is written while detectors that don't ask for it run."""
+        return self.parsed.result()
 
 
 def dependency_findings(x: Inputs) -> DataFrame:
@@ -55,6 +61,9 @@ DETECTORS: dict[str, Detector] = {
 }
 
 
+_WITHOUT_SYNTAX = {"L0", "L1", "L2", "L4"}
+
+
 @dataclass(frozen=True)
 class Scan:
     """findings as they exist after the cascade; verdicts with layers_run, one row per target; when the scan started, and
@@ -81,21 +90,25 @@ def all_findings(
     detectors: Mapping[str, Detector] = DETECTORS,
     seconds: dict[str, float] | None = None,
 ) -> DataFrame:
-    """The findings of all selected layers together, no cascade applied. Sources are parsed once, for all detectors; each
-    detector's findings are written to one table as it ends. seconds: gets how long each layer took."""
+    """The findings of all selected layers together, no cascade applied. Sources are parsed once, for all detectors, which
+    run side by side, each into a table of its own. seconds: gets how long each layer took."""
     texts = with_text(files)
-    rows = read_syntax(texts)
-    if {"L3", "L5"} & {*layers}:
-        rows = stored(rows, "syntax")
-    inputs = Inputs(files, texts, rows, manifest_lines(texts), signatures)
-    path = shared_path(files.sparkSession, "findings")
-    for x in dict.fromkeys(layers):
-        if x in detectors:
-            began = time.perf_counter()
-            detectors[x](inputs).write.mode("append").parquet(path)
-            if seconds is not None:
-                seconds[x] = time.perf_counter() - began
-    return files.sparkSession.read.schema(FINDING).parquet(path)
+    chosen = [x for x in dict.fromkeys(layers) if x in detectors]
+    paths = {x: shared_path(files.sparkSession, f"findings-{x}") for x in chosen}
+
+    def run(layer: str, inputs: Inputs) -> None:
+        began = time.perf_counter()
+        detectors[layer](inputs).write.parquet(paths[layer])
+        if seconds is not None:
+            seconds[layer] = time.perf_counter() - began
+
+    with ThreadPoolExecutor(len(chosen) + 1) as pool:
+        asks = any(x not in _WITHOUT_SYNTAX or detectors[x] is not DETECTORS[x] for x in chosen)
+        parsed = pool.submit(stored if asks else lambda df, _: df, read_syntax(texts), "syntax")
+        inputs = Inputs(files, texts, manifest_lines(texts), signatures, parsed)
+        for done in [pool.submit(run, x, inputs) for x in chosen]:
+            done.result()
+    return files.sparkSession.read.schema(FINDING).parquet(*paths.values())
 
 
 def scan(
