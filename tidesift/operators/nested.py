@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidesift.session import spread
 
 _ITEM = "struct<v:variant,m:map<string,variant>,a:array<variant>,k:string,own:boolean,node:string,parent:string,ptr:string>"
-_VALUE = "struct<parent_ptr:string,node_ptr:string,value_ptr:string,value_type:string,value:string>"
-_NODE = "struct<parent_ptr:string,node_ptr:string,node_id:string,node_type:string>"
+#: The tables' rows; what is read from a variant is left to the table that is taken, as most uses don't want it.
+_VALUE = "struct<parent_ptr:string,node_ptr:string,value_ptr:string,v:variant>"
+_NODE = "struct<parent_ptr:string,node_ptr:string,id:variant,type:variant>"
 
 #: A variant with its fields if it is an object, and its elements if an array.
 _OPEN = "{v} v, try_variant_get({v}, '$', 'map<string,variant>') m, try_variant_get({v}, '$', 'array<variant>') a"
@@ -33,7 +34,7 @@ transform(
 _OWN = "c.o.m is not null and (x.a is not null and x.k <=> 'nodes' or _form = 'prompt' and x.node is null and x.ptr = '')"
 
 _STEP = f"""
-flatten(transform(s.open, x -> transform({_CHILDREN}, c ->
+flatten(transform(filter(s.level, i -> i.m is not null or i.a is not null), x -> transform({_CHILDREN}, c ->
   if({_OWN},
      named_struct('v', c.o.v, 'm', c.o.m, 'a', c.o.a, 'k', c.k, 'own', true,
                   'node', concat(coalesce(x.node, ''), x.ptr, '/', c.step), 'parent', coalesce(x.node, ''), 'ptr', ''),
@@ -42,30 +43,31 @@ flatten(transform(s.open, x -> transform({_CHILDREN}, c ->
 """
 
 
-def _walk() -> str:
-    level = f"transform(array({_STEP}), l -> cast(l as array<{_ITEM}>))[0]"
-    values = (
-        "filter(transform(filter(l, i -> i.m is null and i.a is null and i.node is not null), "
-        "i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, 'value_ptr', i.ptr, 'value_type', "
-        "schema_of_variant(i.v), 'value', try_variant_get(i.v, '$', 'string'))), i -> i.value is not null)"
-    )
-    nodes = (
-        "transform(filter(l, i -> i.own), i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, "
-        "'node_id', try_variant_get(i.m['id'], '$', 'string'), "
-        "'node_type', try_variant_get(coalesce(i.m['class_type'], i.m['type']), '$', 'string')))"
-    )
-    start = f"""
-    named_struct('open', cast(array(named_struct('v', cast(null as variant), 'm', _map, 'a', cast(null as array<variant>),
+#: By table, the rows that a level adds to it
+_ROWS = {
+    "vals": (
+        _VALUE,
+        "transform(filter(s.level, i -> i.m is null and i.a is null and i.node is not null and not is_variant_null(i.v)), "
+        "i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, 'value_ptr', i.ptr, 'v', i.v))",
+    ),
+    "nodes": (
+        _NODE,
+        "transform(filter(s.level, i -> i.own), i -> named_struct('parent_ptr', i.parent, 'node_ptr', i.node, "
+        "'id', i.m['id'], 'type', coalesce(i.m['class_type'], i.m['type'])))",
+    ),
+}
+
+
+def _walk(tables: tuple[str, ...]) -> str:
+    first = f"""cast(array(named_struct('v', cast(null as variant), 'm', _map, 'a', cast(null as array<variant>),
                  'k', cast(null as string), 'own', false, 'node', cast(null as string), 'parent', cast(null as string),
-                 'ptr', '')) as array<{_ITEM}>),
-                 'vals', cast(array() as array<{_VALUE}>), 'nodes', cast(array() as array<{_NODE}>))
-    """
-    state = f"struct<open:array<{_ITEM}>,vals:array<{_VALUE}>,nodes:array<{_NODE}>>"
-    return f"""
-    aggregate(sequence(1, _depth), cast({start} as {state}), (s, n) -> transform(array({level}), l -> cast(named_struct(
-      'open', filter(l, i -> i.m is not null or i.a is not null),
-      'vals', concat(s.vals, {values}), 'nodes', concat(s.nodes, {nodes})) as {state}))[0])
-    """
+                 'ptr', '')) as array<{_ITEM}>)"""
+    start = ", ".join([f"'level', {first}", *(f"'{t}', cast(array() as array<{_ROWS[t][0]}>)" for t in tables)])
+    state = f"struct<{','.join([f'level:array<{_ITEM}>', *(f'{t}:array<{_ROWS[t][0]}>' for t in tables)])}>"
+    step = ", ".join([f"'level', {_STEP}", *(f"'{t}', concat(s.{t}, {_ROWS[t][1]})" for t in tables)])
+    # a step takes the rows of the level before it, so the last one only does that. Only the start is cast, and nothing is
+    # bound to a name by a transform, as either would copy all rows once a level.
+    return f"aggregate(sequence(0, _depth), cast(named_struct({start}) as {state}), (s, n) -> named_struct({step}))"
 
 
 def parse_workflows(df: DataFrame, key: str = "workflow_id", body: str = "body") -> DataFrame:
@@ -89,7 +91,8 @@ def parse_workflows(df: DataFrame, key: str = "workflow_id", body: str = "body")
         "v -> coalesce(map_contains_key(try_variant_get(v, '$', 'map<string,variant>'), 'class_type'), false)) "
         "then 'prompt' end _form"
     )
-    depth = r"""aggregate(split(regexp_replace(regexp_replace(_body, '(?s)"(?:[^"\\\\]|\\\\.)*+"', ''), '[^\\[\\]{}]', ''), ''),
+    # strings and all but brackets are taken out, and the brackets counted
+    depth = r"""aggregate(split(regexp_replace(_body, '(?s)"(?:[^"\\\\]|\\\\.)*+"|[^"\\[\\]{}]++', ''), ''),
         struct(0 d, 1 m), (s, c) -> struct(if(c in ('[', '{'), s.d + 1, s.d - 1) d,
         greatest(s.m, if(c in ('[', '{'), s.d + 1, s.d - 1)) m), s -> s.m) _depth"""
     return _once(mapped, form, "_id", "_map", "_body").where("_form is not null").select("_id", "_map", "_form", F.expr(depth))
@@ -101,10 +104,13 @@ def _once(df: DataFrame, expression: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(F.expr(f"array(struct({expression}))")))
 
 
-def flatten_workflows(df: DataFrame, key: str = "workflow_id", body: str = "body") -> DataFrame:
-    """key, form, vals and nodes: the two result tables of each body as arrays. Take one with node_table or value_table."""
-    walked = _once(parse_workflows(df, key, body), f"{_walk()} _flat", "_id", "_form")
-    return walked.select(F.col("_id").alias(key), F.col("_form").alias("form"), "_flat.vals", "_flat.nodes")
+def flatten_workflows(
+    df: DataFrame, key: str = "workflow_id", body: str = "body", tables: tuple[str, ...] = ("vals", "nodes")
+) -> DataFrame:
+    """key, form, vals and nodes: the result tables of each body as arrays. Take one with node_table or value_table; tables
+    says which are wanted."""
+    walked = _once(parse_workflows(df, key, body), f"{_walk(tables)} _flat", "_id", "_form")
+    return walked.select(F.col("_id").alias(key), F.col("_form").alias("form"), *[f"_flat.{t}" for t in tables])
 
 
 def value_table(flat: DataFrame, key: str = "workflow_id") -> DataFrame:
@@ -113,9 +119,15 @@ def value_table(flat: DataFrame, key: str = "workflow_id") -> DataFrame:
     Pointers are JSON Pointers; parent_ptr is '' for a node that no other encloses. Null and unparsable bodies give no
     row; bodies delivered twice give their rows under each key; columns of the input other than key don't appear.
     """
-    return flat.select(key, F.inline("vals"))
+    rows = flat.select(key, F.inline("vals"))
+    return rows.select(
+        key, "parent_ptr", "node_ptr", "value_ptr", F.expr("schema_of_variant(v)").alias("value_type"),
+        F.expr("try_variant_get(v, '$', 'string')").alias("value"),
+    )
 
 
 def node_table(flat: DataFrame, key: str = "workflow_id") -> DataFrame:
     """One row per node, also where it holds no scalar: key, parent_ptr, node_ptr, node_id, node_type."""
-    return flat.select(key, F.inline("nodes"))
+    rows = flat.select(key, F.inline("nodes"))
+    text = "try_variant_get({}, '$', 'string')".format
+    return rows.select(key, "parent_ptr", "node_ptr", F.expr(text("id")).alias("node_id"), F.expr(text("type")).alias("node_type"))

@@ -27,12 +27,12 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = flatten_workflows(table(spark, sf_dir, "workflows"))
+    flat = flatten_workflows(table(spark, sf_dir, "workflows"), tables=("vals",))
     return value_table(flat).select("workflow_id", "parent_ptr", "node_ptr", "value_ptr")
 
 
 def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return node_table(flatten_workflows(table(spark, sf_dir, "workflows")))
+    return node_table(flatten_workflows(table(spark, sf_dir, "workflows"), tables=("nodes",)))
 
 
 _Q = r"""(?:"[^"]*(?:""[^"]*)*")"""
