@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import islice
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.functions.text import cut_within, stripped
@@ -82,6 +83,10 @@ def _search(texts: DataFrame, patterns: tuple[str, ...], key: str) -> DataFrame:
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, line int, line_text string, pattern string")
 
 
+def _any_of(patterns: tuple[str, ...]) -> Callable[[str], Column]:
+    return lambda column: reduce(or_, (F.contains(F.col(column), F.lit(p)) for p in patterns), F.lit(False))
+
+
 def literal_hits(texts: DataFrame, patterns: DataFrame, key: str, max_characters: int | None = None) -> DataFrame:
     """key, line, line_text, pattern, category, severity, cwe: every pattern in every line, overlapping ones too, each
     once a line. Texts are searched to their end, however long they are; max_characters, if given, is where the search
@@ -102,8 +107,10 @@ def literal_hits(texts: DataFrame, patterns: DataFrame, key: str, max_characters
         for block in blocks:
             found = found.unionByName(_search(texts, block, key))
         return found.join(small_side(first), "pattern").select(key, "line", "line_text", "pattern", "category", "severity", "cwe")
-    lines = texts.select(key, F.posexplode(F.split("text", "\n", -1)).alias("_i", "line_text"))
-    return lines.join(F.broadcast(first), F.col("line_text").contains(F.col("pattern"))).select(
+    # texts without any pattern aren't cut into lines, and lines without any don't reach the join
+    held = _any_of(block)
+    lines = texts.where(held("text")).select(key, F.posexplode(F.split("text", "\n", -1)).alias("_i", "line_text"))
+    return lines.where(held("line_text")).join(F.broadcast(first), F.col("line_text").contains(F.col("pattern"))).select(
         key, (F.col("_i") + 1).alias("line"), "line_text", "pattern", "category", "severity", "cwe"
     )
 

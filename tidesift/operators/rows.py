@@ -76,7 +76,9 @@ def split_records(raw: DataFrame, key: str = "raw_id", line: str = "raw_line") -
     no fields, so its reason is `columns`; the empty record has one field. Other columns of the input are left out, so
     their names can't clash. Repeated records each give a row. An empty table gives two empty tables.
     """
-    base = raw.select(F.col(key).alias("_key"), F.col(line).alias("_raw")).withColumn("_f", record_fields(F.col("_raw")))
+    # the result of a generator isn't written into the expressions after it, so that a record is cut once for all rules
+    cut = F.inline(F.array(F.struct(record_fields(F.col("_raw")).alias("_f"))))
+    base = raw.select(F.col(key).alias("_key"), F.col(line).alias("_raw")).select("_key", "_raw", cut)
     field = {n: F.get(F.col("_f"), F.lit(i)) for i, n in enumerate(FIELDS)}
     broken = F.col("_raw").isNotNull() & F.col("_f").isNull()
     values = F.filter(

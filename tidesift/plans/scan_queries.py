@@ -95,6 +95,72 @@ def l3_syntax_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax_findings(read_syntax(with_text(_files(spark, sf_dir))))
 
 
+#: Pieces of source: the text, the findings expected of it (line, category, severity, cwe), and the counters that it raises
+PIECES: list[tuple[str, list[tuple[int, str, str, str | None]], dict[str, int]]] = [
+    ("y = eval(x)\n", [(1, "code_execution", "high", "CWE-95")], {"eval_calls": 1}),
+    (
+        "\nexec(base64.b64decode(x).decode())\n",
+        [(2, "code_execution", "critical", "CWE-95"), (2, "encoded_payload", "medium", "CWE-506")],
+        {"exec_calls": 1, "decoder_calls": 1, "exec_with_decoder_count": 1},
+    ),
+    ("subprocess.run(c, shell=True)\n", [(1, "shell_execution", "critical", "CWE-78")], {"shell_calls": 1, "shell_true_count": 1}),
+    ("subprocess.run(c, shell=s)\nos.system(c)\n", [(1, "shell_execution", "high", "CWE-78"), (2, "shell_execution", "high", "CWE-78")], {"shell_calls": 2}),
+    (
+        "import pickle, ctypes.util\n",
+        [(1, "unsafe_deserialization", "medium", None), (1, "native_invocation", "medium", None)],
+        {"suspicious_import_count": 2, "total_import_count": 2},
+    ),
+    ("import json\nfrom marshal import loads\n", [(2, "unsafe_deserialization", "medium", None)], {"suspicious_import_count": 1, "total_import_count": 2}),
+    ("getattr(o, n)\ngetattr(o, 'n')\n", [(1, "dynamic_attribute_access", "medium", "CWE-470")], {"dynamic_getattr_count": 1}),
+    ("z = chr(101) + chr(118) + chr(97) + chr(108)\n", [(1, "code_obfuscation_chr_chain", "critical", "CWE-506")], {}),
+    ("z = 'ev' + 'a' + 'l'\nw = 'ev' + 'al'\n", [(1, "code_obfuscation_split_concat", "high", "CWE-506")], {}),
+    ("z = 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop0123456789'\n", [(1, "code_obfuscation_high_entropy", "medium", "CWE-506")], {}),
+    ("def ll(a):\n    return a\n\n\n_ = 1\n", [(1, "code_obfuscation_suspicious_ident", "low", "CWE-1109"), (5, "code_obfuscation_suspicious_ident", "low", "CWE-1109")], {}),
+    ("p\u0430yload = 1\n", [(1, "code_obfuscation_mixed_script", "critical", "CWE-1007")], {}),
+    (
+        "zlib.decompress(base64.b64decode(x))\n",
+        [(1, "code_obfuscation_decoder_chain", "high", "CWE-506"), (1, "encoded_payload", "medium", "CWE-506")],
+        {"decoder_calls": 1},
+    ),
+    ("a=[" + "1," * 200 + "1]", [(1, "code_obfuscation_minified", "medium", "CWE-506")], {}),
+    ("z = (\n", [], {"syntax_error_count": 1}),
+    (
+        "compile(s, f, 'exec')\n__import__(m)\n",
+        [(1, "code_execution", "medium", "CWE-95"), (2, "dynamic_import", "medium", "CWE-470")],
+        {"compile_calls": 1, "import_dunder_calls": 1},
+    ),
+    ("pickle.loads(x)\nsp.run(c)\n", [(1, "unsafe_deserialization", "high", "CWE-502")], {"deserialization_calls": 1}),
+    ("codecs.decode(x, 'hex')\nrequests.get(u)\n", [(1, "encoded_payload", "low", "CWE-506")], {"decoder_calls": 1, "network_calls": 1}),
+    ("z = '" + "ab" * 60 + "'\n", [], {"long_base64_string_count": 1, "long_hex_string_count": 1}),
+    ("", [], {}),
+]
+_PIECE_COUNTERS = sorted({c for _, _, counts in PIECES for c in counts})
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each dependency, with the piece that its number stands for."""
+    texts = F.array(*[F.lit(text) for text, _, _ in PIECES])
+    deps = table(spark, sf_dir, "dependencies").select("dep_id", "target")
+    return deps.select(
+        F.col("dep_id").alias("file_id"), "target", F.concat(F.col("dep_id").cast("string"), F.lit(".py")).alias("rel_path"), F.lit(".py").alias("suffix"),
+        F.get(texts, (F.col("dep_id") % len(PIECES)).cast("int")).cast("binary").alias("content"), F.lit(None).cast("bigint").alias("n_bytes"),
+    )
+
+
+def piece_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of syntax find in pieces of source."""
+    found = syntax_findings(read_syntax(with_text(_pieces(spark, sf_dir))))
+    return found.select("target", "file", "line", "category", "severity", "cwe", "layer")
+
+
+def piece_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of risk over pieces of source."""
+    files = _pieces(spark, sf_dir)
+    texts = with_text(files)
+    counted = target_counters(read_syntax(texts), files, manifest_lines(texts))
+    return counted.select("target", "py_file_count", "total_file_count", "total_loc", "max_file_bytes", *_PIECE_COUNTERS)
+
+
 def l4_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_dependencies(manifest_lines(with_text(_files(spark, sf_dir))))
 
@@ -224,7 +290,7 @@ QUERIES = {
         l0_digest_groups, l0_digest_findings, l1_url_mentions, l1_url_findings, l2_literal_findings, l3_syntax_findings,
         l4_dependencies, l4_name_findings, l5_risk_scores, scan_targets, workflow_root_nodes, workflow_node_types,
         workflow_widgets, workflow_widget_text, workflow_urls, workflow_literals, workflow_verdicts, l2_name_literals,
-        dependency_name_findings, dependency_advisories, pyproject_dependencies, png_workflows, finding_risk_scores,
+        piece_findings, piece_counters, dependency_name_findings, dependency_advisories, pyproject_dependencies, png_workflows, finding_risk_scores,
     )
 }
 
@@ -273,9 +339,15 @@ _UTF8 = "|".join(
         "ED[89][0-9A-F][89AB][0-9A-F]", "F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}", "F[1-3](?:[89AB][0-9A-F]){3}", "F48[0-9A-F](?:[89AB][0-9A-F]){2}",
     )
 )
+
+
+def decoded_sql(content: str) -> str:
+    return f"""replace(replace(decode(unhex(array_to_string(list_filter(regexp_extract_all(hex({content}), '{_UTF8}|..'),
+        lambda x: regexp_full_match(x, '{_UTF8}')), ''))), chr(13) || chr(10), chr(10)), chr(13), chr(10))"""
+
+
 _TEXTS = f"""
-texts AS (SELECT target, rel_path, suffix, replace(replace(decode(unhex(array_to_string(list_filter(
-    regexp_extract_all(hex(content), '{_UTF8}|..'), lambda x: regexp_full_match(x, '{_UTF8}')), ''))), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text
+texts AS (SELECT target, rel_path, suffix, {decoded_sql("content")} AS text
   FROM plugin_files WHERE content IS NOT NULL AND suffix IN ('.py', '.txt', '.toml', '.md', '.yaml', '.yml', '.json')),
 lines AS (SELECT target, rel_path, suffix, CAST(i AS INT) AS line, l[i] AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM texts),
   unnest(range(1, len(l) + 1)) AS u(i))
@@ -328,6 +400,14 @@ def _worth(counter: str, *how: object) -> str:
     return f"CASE WHEN {counter} > 0 THEN least({most}::DOUBLE, {base}::DOUBLE + {counter} * {each}::DOUBLE) ELSE 0.0::DOUBLE END"
 
 
+_PIECE_ROWS = _known([(c, s, w or "", i, line) for i, (_, rows, _) in enumerate(PIECES) for line, c, s, w in rows]).replace(
+    "k(pattern, category, severity, cwe, o)", "k(category, severity, cwe, piece, line)"
+)
+_PIECE_TOTALS = ", ".join(
+    f"({i}, {text.count(chr(10)) + 1}, {len(text.encode())}, {', '.join(str(counts.get(c, 0)) for c in _PIECE_COUNTERS)})"
+    for i, (text, _, counts) in enumerate(PIECES)
+)
+
 _DANGEROUS = "eval_calls + exec_calls + compile_calls + import_dunder_calls + shell_calls + deserialization_calls"
 _PER_LINES = f"CASE WHEN total_loc > 0 THEN 100.0::DOUBLE * ({_DANGEROUS}) / total_loc ELSE 0.0::DOUBLE END"
 _SIGNALS = {signal: _worth(counter, *how) for signal, (counter, *how) in GROWING.items()} | {
@@ -354,6 +434,11 @@ SQL = {
         FROM lines l, {_BUILT_IN} WHERE contains(l.text, pattern)""",
     "l2_name_literals": f"""WITH {_TEXTS} SELECT target, rel_path AS file, line, 'package_name: `' || {_CUT("name", 60)} || '` is in the text' AS title,
         'info' AS severity, {_LINE} AS snippet, count(*) AS n FROM lines l, package_baseline WHERE contains(l.text, name) GROUP BY ALL""",
+    "piece_findings": f"""SELECT target, dep_id || '.py' AS file, k.line, category, severity, nullif(cwe, '') AS cwe, 'L3' AS layer
+        FROM dependencies, {_PIECE_ROWS} WHERE dep_id % {len(PIECES)} = piece""",
+    "piece_counters": f"""SELECT target, count(*) AS py_file_count, count(*) AS total_file_count, CAST(sum(loc) AS BIGINT) AS total_loc,
+          CAST(max(bytes) AS BIGINT) AS max_file_bytes, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _PIECE_COUNTERS)}
+        FROM dependencies JOIN (VALUES {_PIECE_TOTALS}) AS k(piece, loc, bytes, {", ".join(_PIECE_COUNTERS)}) ON dep_id % {len(PIECES)} = piece GROUP BY target""",
     "l4_dependencies": f"""WITH {_TEXTS}, {_MANIFESTS} SELECT target, rel_path AS source_file, line, {_normal("n")} AS name,
         CASE WHEN o = '==' AND regexp_full_match(v, '[A-Za-z0-9._+-]+') THEN v END AS version FROM parsed WHERE n <> ''""",
     "dependency_name_findings": f"""WITH {_NEAR} SELECT target, source_file AS file, line, CASE WHEN distance = 1 THEN 'high' ELSE 'medium' END AS severity,
