@@ -12,6 +12,8 @@ from tidesift.llm.names import mapped_names, name_candidates
 from tidesift.llm.origin import file_layout, foreign_files, judged_files
 from tidesift.llm.secrets import credentials, redacted_files
 from tidesift.llm.unparsable import judged_sources, parse_rates, unparsable_files
+from tidesift.plans.scan_queries import decoded_sql
+from tidesift.plans.text_queries import strip_sql
 from tidesift.session import shared_path, table
 
 
@@ -31,6 +33,12 @@ def p3_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_layout(table(spark, sf_dir, "plugin_files"))
 
 
+def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those statistics of layout that SQL can say."""
+    layout = file_layout(table(spark, sf_dir, "plugin_files"))
+    return layout.select("file_id", *[F.round(c, 9).alias(c) for c in ("mean_line", "max_line", "white", "alnum")])
+
+
 def p3_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_files(table(spark, sf_dir, "plugin_files")).where("kind is null").select("file_id")
 
@@ -108,6 +116,7 @@ QUERIES = {
     "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p3_layout": p3_layout,
+    "p3_lines": p3_lines,
     "p3_handwritten": p3_handwritten,
     "p4_found": p4_found,
     "p4_candidates": p4_candidates,
@@ -153,6 +162,15 @@ leaked AS (SELECT DISTINCT doc_id, item_id FROM judged WHERE total >= least)
 """
 
 SQL: dict[str, str] = {
+    # bytes beyond ASCII count as letters
+    "p3_lines": rf"""WITH t AS (SELECT file_id, {decoded_sql("content")} AS text FROM plugin_files WHERE content IS NOT NULL AND suffix IN ('.py', '.js')),
+        b AS (SELECT file_id, text, CAST(octet_length(encode(text)) AS DOUBLE) AS n,
+          length(text) - length(regexp_replace(text, '[\t-\r\x1c-\x20]', '', 'g')) AS w,
+          length(text) - length(regexp_replace(text, '[^0-9A-Za-z\x{{80}}-\x{{10ffff}}]', '', 'g')) AS other FROM t),
+        l AS (SELECT file_id, list_filter(string_split(text, chr(10)), lambda x: {strip_sql("x")} <> '') AS l FROM t)
+        SELECT b.file_id, round(CASE WHEN len(l) > 0 THEN list_sum(list_transform(l, lambda x: length(x))) / len(l) ELSE 0.0 END, 9) AS mean_line,
+          round(CAST(coalesce(list_max(list_transform(l, lambda x: length(x))), 0) AS DOUBLE), 9) AS max_line,
+          round(w / greatest(n, 1), 9) AS white, round((n - other) / greatest(n, 1), 9) AS alnum FROM b JOIN l ON b.file_id = l.file_id""",
     "p7_found": f"WITH {_LEAKED} SELECT doc_id, item_id FROM leaked",
     "p7_items": f"WITH {_LEAKED} SELECT item_id, count(*) AS n_documents FROM leaked GROUP BY item_id",
 }
