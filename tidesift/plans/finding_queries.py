@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidesift.operators.url import first_mentions, url_mentions
 from tidesift.operators.verdict import cascade, exit_code, layers_run, verdicts, worst_label
 from tidesift.functions.text import normal_url
-from tidesift.schema import LAYERS, SEVERITIES, severity_of, severity_rank
+from tidesift.render import batch_json, report_lines
+from tidesift.schema import FINDING_COLUMNS, LAYERS, SEVERITIES, severity_of, severity_rank
 from tidesift.session import shared_path, small_side, table
 from tidesift.streaming.arrivals import distinct_arrivals, severity_windows
 
@@ -90,6 +91,34 @@ def listed_reference_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_mentions(mentions.join(small_side(listed), "_u", "left_semi"))
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The findings of scans in the shape of findings, by scan, and their verdicts."""
+    found = table(spark, sf_dir, "scan_findings").withColumn("target", F.col("scan_id").cast("string")).withColumnRenamed("refs", "references")
+    found = found.select(*FINDING_COLUMNS)
+    return found, verdicts(found, found)
+
+
+def finding_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of scans as JSON lines, read back."""
+    lines = report_lines(*_reported(spark, sf_dir))
+    schema = (
+        "schema_version string, verdict struct<label:string,score:double,confidence:string>, recommendation string, findings_count bigint, "
+        "id string, layer string, severity string, title string, file string, line int, snippet string, cwe string, references array<string>"
+    )
+    read = lines.select("target", "part", F.from_json("json", schema).alias("j"))
+    return read.select(
+        "target", "part", "j.schema_version", "j.verdict.label", "j.verdict.score", "j.recommendation", "j.findings_count",
+        "j.id", "j.layer", "j.severity", "j.title", "j.file", "j.line", "j.snippet", "j.cwe", F.array_join("j.references", " ").alias("refs"),
+    )
+
+
+def batch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch report of all scans, read back."""
+    schema = "node string, verdict struct<label:string,score:double,confidence:string>, recommendation string, findings_count bigint"
+    read = batch_json(_reported(spark, sf_dir)[1]).select(F.from_json("json", schema).alias("j"))
+    return read.select("j.node", "j.verdict.label", "j.verdict.score", "j.verdict.confidence", "j.recommendation", "j.findings_count")
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/scan_findings.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
@@ -125,7 +154,7 @@ QUERIES = {
     for q in (
         scan_verdicts, target_verdicts, scan_cascade, cascade_verdicts, scan_layers_run, selected_layers_cascade, owner_worst,
         scan_exit_codes, severity_histogram, category_pivot, latest_scan_verdicts, reference_urls, listed_reference_urls,
-        stream_severity_windows, stream_distinct_findings,
+        stream_severity_windows, stream_distinct_findings, finding_reports, batch_reports,
     )
 }
 
@@ -190,6 +219,13 @@ SQL = {
     "stream_severity_windows": f"""SELECT strftime(make_timestamp(CAST(floor(epoch(started_at) / 604800) * 604800000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS window_start, layer,
         count(*) AS n_findings, count(*) FILTER ({_RANK} = 4) AS n_critical, max({_RANK}) AS worst_rank
         FROM scan_findings GROUP BY 1, 2""",
+    "finding_reports": f"""SELECT target, 0 AS part, '1.0' AS schema_version, label, score, recommendation, n AS findings_count, NULL AS id, NULL AS layer,
+          NULL AS severity, NULL AS title, NULL AS file, CAST(NULL AS INT) AS line, NULL AS snippet, NULL AS cwe, NULL AS refs
+        FROM (SELECT CAST(scan_id AS VARCHAR) AS target, {JUDGED}, n FROM (SELECT scan_id, max({_RANK}) AS r, count(*) AS n FROM scan_findings GROUP BY scan_id))
+        UNION ALL SELECT CAST(scan_id AS VARCHAR), 1, NULL, NULL, NULL, NULL, NULL, id, layer, severity, title, file, line, snippet, cwe, array_to_string(refs, ' ')
+        FROM scan_findings""",
+    "batch_reports": f"""SELECT CAST(scan_id AS VARCHAR) AS node, {JUDGED}, n AS findings_count
+        FROM (SELECT scan_id, max({_RANK}) AS r, count(*) AS n FROM scan_findings GROUP BY scan_id)""",
     "stream_distinct_findings": "SELECT DISTINCT scan_id, target, id, layer, category, title FROM scan_findings",
 }
 assert set(LAYERS) == {"L0", "L1", "L2", "L3", "L4", "L5"}  # the SQL spells them out

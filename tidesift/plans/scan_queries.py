@@ -9,7 +9,7 @@ from tidesift.functions.text import normal_name, requirement, requirement_text
 from tidesift.operators.deps import advisory_findings, manifest_lines, name_findings, parsed_dependencies
 from tidesift.operators.digest import digest_findings, digest_groups
 from tidesift.operators.literal import literal_findings
-from tidesift.operators.risk import COUNTERS, DENSE, DENSITY, GROWING, scored, target_counters
+from tidesift.operators.risk import COUNTERS, DENSE, DENSITY, GROWING, risk_findings, scored, target_counters
 from tidesift.operators.syntax import read_syntax, syntax_findings
 from tidesift.operators.url import first_mentions, url_findings, url_mentions
 from tidesift.operators.workflow import (
@@ -218,12 +218,22 @@ def png_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded_workflows(files).select(F.col("file_id").alias("workflow_id"), "body", "reason")
 
 
-def finding_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The risk score over counters that are taken from findings: one by the line of each finding, lines of code by its
-    length."""
+def _risk_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk score over counters that are taken from findings: one by the line of each finding, lines of code by the
+    length of its title."""
     found = table(spark, sf_dir, "scan_findings").select("scan_id", F.coalesce("line", F.lit(0)).alias("line"), F.length("title").alias("n"))
     counts = [F.count(F.when(F.col("line") % len(COUNTERS) == i, 1)).alias(c) for i, c in enumerate(COUNTERS) if c != "total_loc"]
-    scores = scored(found.groupBy("scan_id").agg(*counts, F.sum("n").alias("total_loc")))
+    return scored(found.groupBy("scan_id").agg(*counts, F.sum("n").alias("total_loc")))
+
+
+def finding_risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that follow from the risk scores."""
+    scores = _risk_of_findings(spark, sf_dir).withColumn("target", F.col("scan_id").cast("string"))
+    return risk_findings(scores).select("target", "layer", "severity", "category", "file")
+
+
+def finding_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _risk_of_findings(spark, sf_dir)
     signals = F.transform("reasons", lambda r: F.regexp_replace(r, r" \([^)]*\)$", ""))
     return scores.select(
         "scan_id", "dangerous_calls_total", F.round("dangerous_call_density", 9).alias("density"),
@@ -291,6 +301,7 @@ QUERIES = {
         l4_dependencies, l4_name_findings, l5_risk_scores, scan_targets, workflow_root_nodes, workflow_node_types,
         workflow_widgets, workflow_widget_text, workflow_urls, workflow_literals, workflow_verdicts, l2_name_literals,
         piece_findings, piece_counters, dependency_name_findings, dependency_advisories, pyproject_dependencies, png_workflows, finding_risk_scores,
+        finding_risk_levels,
     )
 }
 
@@ -400,6 +411,8 @@ def _worth(counter: str, *how: object) -> str:
     return f"CASE WHEN {counter} > 0 THEN least({most}::DOUBLE, {base}::DOUBLE + {counter} * {each}::DOUBLE) ELSE 0.0::DOUBLE END"
 
 
+_COUNTED = f"""c AS (SELECT scan_id, {", ".join(f"count(*) FILTER (coalesce(line, 0) % {len(COUNTERS)} = {i}) AS {c}" for i, c in enumerate(COUNTERS) if c != "total_loc")},
+  sum(length(title)) AS total_loc FROM scan_findings GROUP BY scan_id)"""
 _PIECE_ROWS = _known([(c, s, w or "", i, line) for i, (_, rows, _) in enumerate(PIECES) for line, c, s, w in rows]).replace(
     "k(pattern, category, severity, cwe, o)", "k(category, severity, cwe, piece, line)"
 )
@@ -456,8 +469,10 @@ SQL = {
         SELECT CAST(dep_id AS VARCHAR) AS target, 'pyproject.toml' AS source_file, 0 AS line, {_normal("n")} AS name,
           CASE WHEN o = '==' AND regexp_full_match(v, '[A-Za-z0-9._+-]+') THEN v END AS version FROM r WHERE n <> ''""",
     "png_workflows": "SELECT workflow_id, body, CASE WHEN body IS NULL THEN 'not a png' END AS reason FROM workflows",
-    "finding_risk_scores": f"""WITH c AS (SELECT scan_id, {", ".join(f"count(*) FILTER (coalesce(line, 0) % {len(COUNTERS)} = {i}) AS {c}" for i, c in enumerate(COUNTERS) if c != "total_loc")},
-          sum(length(title)) AS total_loc FROM scan_findings GROUP BY scan_id),
+    "finding_risk_levels": f"""WITH {_COUNTED}, v AS (SELECT scan_id, {" + ".join(_SIGNALS.values())} AS score FROM c)
+        SELECT CAST(scan_id AS VARCHAR) AS target, 'L5' AS layer, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.6 THEN 'high' ELSE 'medium' END AS severity,
+          'aggregate_risk' AS category, CAST(NULL AS VARCHAR) AS file FROM v WHERE score >= 0.35""",
+    "finding_risk_scores": f"""WITH {_COUNTED},
         s AS (SELECT scan_id, place, signal, worth FROM c, LATERAL (VALUES {", ".join(f"({i}, '{n}', {w})" for i, (n, w) in enumerate(_SIGNALS.items()))}) AS v(place, signal, worth)),
         t AS (SELECT scan_id, string_agg(signal, '; ' ORDER BY r) AS signals FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY worth DESC, place) AS r
               FROM s WHERE worth > 0) WHERE r <= 6 GROUP BY scan_id)

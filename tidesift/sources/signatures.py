@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesift.functions.text import normal_name
+from tidesift.session import path_exists
 
 #: The environment variable that names the folder of signature files
 FOLDER_VARIABLE = "TIDESIFT_SIGNATURES"
@@ -62,7 +63,7 @@ def signature_folder(given: str | None = None) -> str | None:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Digest signatures of a file of JSON lines. Blank lines, `//` lines, broken JSON and other types are skipped, and
     rows without id or value; a missing file is an empty table. ordinal follows the order of the lines."""
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         return _no_digests(spark)
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("ordinal"))
     rows = lines.where((F.col("line") != "") & ~F.col("line").startswith("//")).select(
@@ -86,7 +87,7 @@ def _no_digests(spark: SparkSession) -> DataFrame:
 
 def read_list(spark: SparkSession, path: str, column: str) -> DataFrame:
     """The different lines of a text file; blank ones and those that start with `#` are skipped."""
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], f"{column} string")
     lines = spark.read.text(path).select(F.trim("value").alias(column))
     return lines.where((F.col(column) != "") & ~F.col(column).startswith("#")).distinct()
@@ -108,9 +109,10 @@ def pattern_rows(categories: dict[str, dict]) -> list[tuple]:
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """The patterns of a JSON file. Its order decides between categories, so the driver reads it."""
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], PATTERN_SCHEMA)
-    return spark.createDataFrame(pattern_rows(json.loads(Path(path).read_text("utf-8")).get("categories") or {}), PATTERN_SCHEMA)
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return spark.createDataFrame(pattern_rows(json.loads(text).get("categories") or {}), PATTERN_SCHEMA)
 
 
 def built_in_patterns(spark: SparkSession) -> DataFrame:
@@ -121,7 +123,7 @@ def built_in_patterns(spark: SparkSession) -> DataFrame:
 def read_advisories(spark: SparkSession, path: str) -> DataFrame | None:
     """Advisories of a file of JSON lines: name, version (null: every version), advisory_id, severity, has_score, summary.
     Lines without a name or an id, and broken ones, are skipped; None if there is no file."""
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         return None
     rows = spark.read.text(path).select(F.from_json("value", ADVISORY_SCHEMA).alias("a")).select("a.*")
     return rows.where("name is not null and advisory_id is not null")
