@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidesift.llm.origin import (
-    Likeness, _follows, band_keys, data_share, file_layout, foreign_files, head_kind, judged_files, layout_kind, shingles,
+    Likeness, _digest, _follows, band_keys, data_share, file_layout, foreign_files, head_kind, judged_files, layout_kind, shingles,
 )
 
 OWN = '"""Generated images are written to the output folder."""\nimport os\n\nHEADER = "# AUTO-GENERATED FILE, DO NOT EDIT"\n\n\ndef first(value):\n    """Do not edit the mask in place; make a copy."""\n    return value + 1\n'
@@ -121,3 +121,26 @@ def test_carried_texts_against_all_pairs(spark, make_files):
                 expected.add(i + 1)
     got = {x.file_id for x in foreign_files(make_files(*rows)).collect()}
     assert got <= expected and len(got) >= 0.9 * len(expected) > 10
+
+
+def test_carried_texts_among_unlike_ones_of_one_origin(spark, make_files):
+    """Pairs of near copies that share each band with texts of the least owner that aren't alike to any: all pairs count."""
+    r, like, rows = random.Random(3), Likeness(), []
+    base = source(500, 30).split("\n")
+    least, *owners = sorted((f"o{i}" for i in range(20)), key=lambda x: _digest(x)[0])
+    for i in range(130):
+        lines = [f"own{r.randrange(1000)} = {r.randrange(1000)}" if r.random() < 0.03 else x for x in base]
+        for owner in (least,) if i < 100 else r.sample(owners, 2):
+            lines = list(lines)
+            lines[r.randrange(len(lines))] = f"other{r.randrange(1000)} = {r.randrange(1000)}"
+            rows.append((f"{owner}/t", f"f{len(rows)}.py", "\n".join(lines)))
+    lone = source(501)
+    rows += [("one/t", "a.py", lone), ("two/t", "b.py", lone), ("two/t", "c.py", source(502))]
+    sets = [set(shingles(x[2], like).tolist()) for x in rows]
+    expected = set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if rows[i][0] != rows[j][0] and len(a & b) >= 0.8 * len(a | b):
+                expected.add(i + 1)
+    assert 60 <= len(expected) < len(rows) - 30
+    assert {x.file_id for x in foreign_files(make_files(*rows)).collect()} == expected

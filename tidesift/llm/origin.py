@@ -14,14 +14,15 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidesift.llm.files import map_files
-from tidesift.session import shared_path, ship_package, small_side
+from tidesift.session import BROADCAST_LIMIT_BYTES, plan_bytes, shared_path, ship_package, small_side, spread
 from tidesift.sources.texts import decode_text
 
 SUFFIXES = (".py", ".js")
@@ -228,9 +229,9 @@ def head_kind(text: str, suffix: str) -> tuple[str | None, str]:
 
 @dataclass(frozen=True)
 class Likeness:
-    """Two texts are alike if of their different runs of `words` words at least `share` are in both. Candidates share a
-    band of `rows` least hashes of `bands`: at a share of 0.8, 998 of 1,000 do. Texts of fewer than `least` different
-    runs are too common to be anybody's."""
+    """Two texts are alike if of their different runs of `words` words at least `share` are in both. Texts that share a
+    band of `rows` least hashes of `bands` are compared first, which settles most near copies; what is alike without that
+    is found by the runs themselves. Texts of fewer than `least` different runs are too common to be anybody's."""
 
     words: int = 5
     share: float = 0.8
@@ -256,9 +257,7 @@ class _Numbers(dict):
 _numbers = _Numbers()
 
 
-def shingles(text: str, like: Likeness) -> np.ndarray:
-    """The different runs of words of a text, as hashes."""
-    found = _WORD.findall(text)
+def _runs(found: list[str], like: Likeness) -> np.ndarray:
     words = np.fromiter(map(_numbers.__getitem__, found), dtype=np.uint64, count=len(found))
     n = len(words) - like.words + 1
     if n < 1:
@@ -270,6 +269,17 @@ def shingles(text: str, like: Likeness) -> np.ndarray:
     return np.unique(out)
 
 
+def shingles(text: str, like: Likeness) -> np.ndarray:
+    """The different runs of words of a text, as hashes."""
+    return _runs(_WORD.findall(text), like)
+
+
+def _has_least(text: str, like: Likeness) -> bool:
+    """Whether a text has `least` different runs, which its first words mostly tell."""
+    few = [m[0] for m in islice(_WORD.finditer(text), 4 * (like.least + like.words))]
+    return len(_runs(few, like)) >= like.least or len(shingles(text, like)) >= like.least
+
+
 @lru_cache(maxsize=4)
 def _factors(n: int) -> np.ndarray:
     return np.random.RandomState(20).randint(0, 2**63, n, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -308,13 +318,12 @@ def foreign_library(path: str) -> bool:
 
 def file_evidence(files: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """One row per `.py` and `.js` file, from one pass: file_id, owner (hashed), kind by layout, head or folder (or
-    null), original (its head names its own owner), and for texts that may be carried along d1, d2 (their digest) and
-    bands."""
+    null), and for texts that may be carried along d1, d2 (their digest). A head that names its own owner isn't foreign."""
 
     def one(key: int, text: str | None, suffix: str, target: str | None, path: str | None) -> Iterator[tuple]:
         owner = (target or "").split("/")[0].lower()
         number = _digest(owner)[0]
-        kind, head, named, d1, d2, keys = None, None, "", None, None, None
+        kind, head, named, d1, d2 = None, None, "", None, None
         if text is not None:
             kind, _ = layout_kind(text, suffix)
             head, named = head_kind(text, suffix)
@@ -323,14 +332,13 @@ def file_evidence(files: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         original = head == "vendored" and named == owner
         if kind is None and text is not None and not original:
             own = body(text, suffix)
-            hashes = shingles(own, like)
-            if len(hashes) >= like.least:
-                (d1, d2), keys = _digest(own), band_keys(hashes, like)
+            if _has_least(own, like):
+                d1, d2 = _digest(own)
         if kind is None and (head == "vendored" and not original or foreign_library(path or "")):
             kind = "vendored"
-        yield key, number, kind, d1, d2, keys
+        yield key, number, kind, d1, d2
 
-    schema = "file_id bigint,owner bigint,kind string,d1 bigint,d2 bigint,bands array<bigint>"
+    schema = "file_id bigint,owner bigint,kind string,d1 bigint,d2 bigint"
     return map_files(files, SUFFIXES, one, schema, ("suffix", "target", "rel_path"), nulls=True)
 
 
@@ -366,26 +374,77 @@ def _alike(pairs: DataFrame, files: DataFrame, like: Likeness) -> DataFrame:
     return both.select("a", "b", "ca", "sa", "cb", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def carried_texts(evidence: DataFrame, files: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """d1 and d2 of the texts that files of different owners hold, quite or nearly.
+def _text_runs(texts: DataFrame, files: DataFrame, like: Likeness) -> DataFrame:
+    """A row per text and different run of words: run, file_id, owner (null for a text of several), as one shuffle.
 
-    Copies of a text become one row with the least and greatest owner, combined before they are shuffled. Bands are
-    grouped the same way, so a group of any size costs one row a task and no pairs: a text is compared with the one of
-    the least, or else greatest, owner of each of its bands, and by its words, not by its bands.
+    A run is the upper 40 bits of its hash. Two that fall together count as one that both texts have, and both stay, so
+    pairs may be compared needlessly but none is lost.
     """
-    bands = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(like.bands)]
-    texts = (
-        evidence.where("d1 is not null")
-        .select("d1", "d2", "owner", "file_id", *bands)
-        .groupBy("d1", "d2")
-        .agg(
-            F.min("owner").alias("low"),
-            F.max("owner").alias("high"),
-            F.min("file_id").alias("file_id"),
-            *[F.first(f"b{i}").alias(f"b{i}") for i in range(like.bands)],
-        )
+    ship_package(files.sparkSession)
+    owned = texts.select("file_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("owner"))
+    kept = spread(files.where("content is not null").select("file_id", "content", "suffix")).join(small_side(owned), "file_id")
+    kept = kept.select("file_id", "owner", "content", "suffix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):  # so many texts' runs are held at once
+                part = batch.slice(at, 500)
+                found = [shingles(body(decode_text(c.as_py()), s.as_py()), like) >> np.uint64(24) for c, s in zip(part.column(2), part.column(3))]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                runs = pa.array(np.concatenate(found).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([runs, part.column(0).take(of), part.column(1).take(of)], ["run", "file_id", "owner"])
+
+    # joins infer this condition; as all uses have it, they share one shuffle
+    return kept.mapInArrow(run, "run bigint, file_id bigint, owner bigint").where("file_id is not null").repartition("run")
+
+
+def _of_several(same: WindowSpec) -> Column:
+    """Whether the rows of a window are of more than one owner."""
+    several = (F.min("owner").over(same) != F.max("owner").over(same)) | (F.count("owner").over(same) < F.count(F.lit(1)).over(same))
+    return F.coalesce(several, F.lit(True))
+
+
+def _deciding_runs(texts: DataFrame, files: DataFrame, like: Likeness) -> DataFrame:
+    """run, file_id, owner: for each text that can be like one of another owner, runs of which each such text has one too.
+
+    Texts that are alike have at least `share` of their runs in common, so at least that many of a text's runs are in
+    texts of other owners. Most hand-written texts end here. Of the n such runs of one that is left, s of which must be
+    common, any n - s + 1 that are first in an order hold a common one, if all texts are put in the same order: the
+    rarest first.
+    """
+    runs, same = _text_runs(texts, files, like), Window.partitionBy("run")
+    left = (
+        runs.withColumn("_shared", _of_several(same))
+        .groupBy("file_id")
+        .agg(F.ceil(F.count(F.lit(1)) * F.lit(like.share) - F.lit(1e-6)).alias("_needed"), F.count_if("_shared").alias("_n"))
+        .where("_n >= _needed")
+        .select("file_id", "_needed")
     )
-    keyed = texts.select("file_id", "low", "high", F.explode(F.array(*[f"b{i}" for i in range(like.bands)])).alias("key"))
+    if plan_bytes(texts.select("file_id", "low")) <= BROADCAST_LIMIT_BYTES:  # left has no more rows than these
+        left = left.hint("broadcast")
+    text = Window.partitionBy("file_id")
+    return (
+        runs.join(left, "file_id")
+        .withColumn("_shared", _of_several(same))
+        .withColumn("_held", F.count(F.lit(1)).over(same))
+        .where("_shared")
+        .withColumn("_n", F.count(F.lit(1)).over(text))
+        .withColumn("_at", F.row_number().over(text.orderBy("_held", "run")))
+        .where("_at <= _n - _needed + 1")
+        .select("run", "file_id", "owner")
+    )
+
+
+def _band_pairs(texts: DataFrame, files: DataFrame, like: Likeness) -> DataFrame:
+    """a and b: each text of one owner with the one of the least, or else greatest, owner of each of its bands. Bands are
+    combined before they are shuffled, so a group of any size costs one row a task and no pairs."""
+
+    def one(key: int, text: str, suffix: str, low: int, high: int) -> Iterator[tuple]:
+        for band in band_keys(shingles(body(text, suffix), like), like):
+            yield key, low, high, band
+
+    owned = files.select("file_id", "content", "suffix").join(small_side(texts), "file_id")
+    keyed = _table(map_files(owned, SUFFIXES, one, "file_id bigint,low bigint,high bigint,key bigint", ("suffix", "low", "high")), "origin-bands")
     groups = (
         keyed.groupBy("key")
         .agg(
@@ -395,11 +454,45 @@ def carried_texts(evidence: DataFrame, files: DataFrame, like: Likeness = Likene
         .where("g_low <> g_high")
     )
     other = F.when(F.col("g_low") != F.col("low"), F.col("f_low")).otherwise(F.col("f_high"))
-    pairs = keyed.where("low = high").join(groups, "key").select(F.col("file_id").alias("a"), other.alias("b")).distinct()
-    path = shared_path(files.sparkSession, "origin-pairs")  # as a table its size is known, and only its files are moved
-    pairs.write.parquet(path)
-    alike = _alike(files.sparkSession.read.parquet(path), files, like)
-    nearly = alike.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
+    return keyed.where("low = high").join(groups, "key").select(F.col("file_id").alias("a"), other.alias("b")).distinct()
+
+
+def _other_pairs(deciding: DataFrame, settled: DataFrame) -> DataFrame:
+    """a and b: all pairs of texts of different owners that can be alike and of which one isn't settled yet."""
+    a = deciding.where("owner is not null").join(small_side(settled), "file_id", "left_anti")
+    a = a.select("run", F.col("file_id").alias("_a"), F.col("owner").alias("_oa"))
+    b = deciding.select("run", F.col("file_id").alias("_b"), F.col("owner").alias("_ob"))
+    pairs = a.join(b, "run").where(~F.col("_oa").eqNullSafe(F.col("_ob")))
+    return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+
+
+def _alike_texts(pairs: DataFrame, files: DataFrame, like: Likeness) -> DataFrame:
+    """file_id of the texts of those pairs that are alike, as a table of its own."""
+    pairs = _table(pairs, "origin-pairs")  # as a table its size is known, and only its files are moved
+    return _table(_alike(pairs, files, like).select(F.explode(F.array("a", "b")).alias("file_id")).distinct(), "origin-alike")
+
+
+def _table(rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder."""
+    path = shared_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def carried_texts(evidence: DataFrame, files: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """d1 and d2 of the texts that files of different owners hold, quite or nearly.
+
+    Copies of a text become one row with the least and greatest owner, combined before they are shuffled. Texts whose runs
+    are mostly one owner's alone go out. Near copies are first looked for among few texts a band, so that a library that
+    thousands carry needs no pairs of all with all; each text that this doesn't settle is compared with all that can be
+    like it. The words decide in both.
+    """
+    texts = evidence.where("d1 is not null").groupBy("d1", "d2")
+    texts = _table(texts.agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.min("file_id").alias("file_id")), "origin-texts")
+    deciding = _table(_deciding_runs(texts, files, like), "origin-runs")
+    left = _table(texts.select("file_id", "low", "high").join(small_side(deciding.select("file_id").distinct()), "file_id", "left_semi"), "origin-left")
+    settled = _alike_texts(_band_pairs(left, files, like), files, like)
+    nearly = settled.unionByName(_alike_texts(_other_pairs(deciding, settled), files, like)).distinct()
     return texts.where("low <> high").select("d1", "d2").unionByName(texts.join(nearly, "file_id", "left_semi").select("d1", "d2")).distinct()
 
 
@@ -412,9 +505,7 @@ def judged_files(files: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     folder for foreign code. Files delivered twice are judged each. A text that one owner alone carries, without a word
     on its origin, can't be told from that owner's own.
     """
-    path = shared_path(files.sparkSession, "origin")  # several steps read it
-    file_evidence(files, like).write.parquet(path)
-    evidence = files.sparkSession.read.parquet(path)
+    evidence = _table(file_evidence(files, like), "origin")  # several steps read it
     carried = carried_texts(evidence, files, like).withColumn("_carried", F.lit("vendored"))
     judged = evidence.select("file_id", "kind", "d1", "d2").join(small_side(carried), ["d1", "d2"], "left")
     return judged.select("file_id", F.coalesce("kind", "_carried").alias("kind"))
